@@ -18,4 +18,23 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, name: str = "mo
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, once a context: Spark's own file server hands them a zip of its sources."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_morphogrid_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="morphogrid-")) / "morphogrid.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._morphogrid_shipped = True
