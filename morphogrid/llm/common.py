@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -28,9 +29,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared checkpoint folder, so that a lost executor costs no recomputation and row ids stay."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """`df` written once, as a table in the shared folder, and read back: a lost executor costs no recomputation, and row ids stay."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def default_spec(name: str = "word_bpe_49k.json") -> str:

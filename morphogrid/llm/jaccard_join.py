@@ -27,7 +27,8 @@ from .components import components
 #: Counters of the shingle sketch and bits of the node filter: fixed sizes, whatever the data.
 SKETCH = 1 << 20
 FILTER_BITS = 1 << 24
-BITMAP_WORDS = 16
+#: 64-bit words of the bitmaps that tiles hold, and of those that pairs are held against before sets are fetched.
+BITMAP_WORDS, WIDE_WORDS = 16, 64
 #: Sets in one comparison cell of a tile.
 CELL = 20_000
 
@@ -176,53 +177,85 @@ def _node_filter(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
-    """(d1, d2, n, bitmap, members) of documents that the filter passes; bytes hold 64-bit words."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def _bits(members: np.ndarray, words: int) -> bytes:
+    flags = np.zeros(words * 64, np.uint8)
+    flags[(members >> tv.U64(40)).astype(np.int64) % len(flags)] = 1
+    return np.packbits(flags).tobytes()
+
+
+def _nodes(docs: DataFrame, names: DataFrame, k: int, whole: bool) -> DataFrame:
+    """One row for each set in `names` (d1, d2): (d1, d2, n) with bitmap and wide, or with all members if `whole`.
+
+    A filter of fixed size keeps most other documents from the shuffle; bytes hold 64-bit words.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_node_filter(names))
+    columns = ["d1", "d2", "n", *(["members"] if whole else ["bitmap", "wide"])]
+    types = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * (len(columns) - 3)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[tuple[int, int]] = set()  # of this task's documents
         for _, texts in text_batches(batches, "text"):
             key, owner, size = shingle_sets(texts, k)
             d1, d2 = digests(key, size)
             x = d1 & (FILTER_BITS - 1)
             passed = np.flatnonzero((shared.value[x >> 5] >> (x & 31).astype(np.uint32)) & 1 & (size > 0))
             ends = np.cumsum(size)
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in columns]
             for i in passed.tolist():
                 name = int(d1[i]), int(d2[i])
                 if name in seen:
                     continue
                 seen.add(name)
                 members = key[ends[i] - size[i] : ends[i]]
-                bitmap = np.zeros(BITMAP_WORDS * 64, np.uint8)
-                bitmap[(members >> tv.U64(40)).astype(np.int64) % len(bitmap)] = 1
-                for column, value in zip(out, (*name, int(size[i]), np.packbits(bitmap).tobytes(), members.tobytes()), strict=True):
+                for column, value in zip(out, (*name, int(size[i]), *([members.tobytes()] if whole else [_bits(members, BITMAP_WORDS), _bits(members, WIDE_WORDS)])), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], ["d1", "d2", "n", "bitmap", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], columns)
+
+    found = docs.mapInArrow(run, "d1 long, d2 long, n int, " + ("members binary" if whole else "bitmap binary, wide binary"))
+    return found.join(names, ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and wide bitmaps don't rule out."""
+    left = nodes.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("n").alias("na"), F.col("wide").alias("x"))
+    right = nodes.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("n").alias("nb"), F.col("wide").alias("y"))
+    both = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), WIDE_WORDS) for c in (4, 6))
+            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in (5, 7))
+            most = np.minimum(na - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), nb - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            may = 100 * most >= percent * (na + nb - most)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(4)], ["a1", "a2", "b1", "b2"]).filter(pa.array(may))
 
-    return docs.mapInArrow(run, "d1 long, d2 long, n int, bitmap binary, members binary")
+    return both.select("a1", "a2", "b1", "b2", "x", "na", "y", "nb").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b: representative documents) of the pairs whose sets meet the threshold, by exact intersection."""
-    left = nodes.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("rep").alias("a"), F.col("members").alias("x"))
-    right = nodes.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("rep").alias("b"), F.col("members").alias("y"))
-    both = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a", "b", "x", "y")
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b: representative documents) among the pairs: bitmaps first, then exact intersections of the sets left."""
+    pairs = durable(_possible(pairs, nodes, percent))
+    names = pairs.select(F.col("a1").alias("d1"), F.col("a2").alias("d2")).union(pairs.select("b1", "b2")).distinct()
+    sets = durable(_nodes(docs, names, k, True))
+    left = sets.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("members").alias("x"))
+    right = sets.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("members").alias("y"))
+    both = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if len(p) > len(q):
                     p, q = q, p
                 at = np.minimum(np.searchsorted(q, p), len(q) - 1)
                 common = int((q[at] == p).sum())
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(4)], ["a1", "a2", "b1", "b2"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    linked = both.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+    light = lambda x, y, rep: nodes.select(F.col("d1").alias(x), F.col("d2").alias(y), F.col("rep").alias(rep))
+    return durable(linked.join(light("a1", "a2", "a"), ["a1", "a2"]).join(light("b1", "b2", "b"), ["b1", "b2"]).select("a", "b"))
 
 
 def _ordered(a1: str, a2: str, b1: str, b2: str) -> list:
@@ -306,13 +339,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     tiles = durable(_tiles(_prefixes(docs, k, percent, hot), percent))
     names = tiles.select("d1", "d2").distinct()
-    bits = _node_filter(names)
-    sets = _sets(docs, k, bits).dropDuplicates(["d1", "d2"])
-    nodes = durable(sets.join(names, ["d1", "d2"], "left_semi").join(reps, ["d1", "d2"]))
+    nodes = durable(_nodes(docs, names, k, False).join(reps, ["d1", "d2"]))
 
     near = tiles.select(F.col("d1").alias("v1"), F.col("d2").alias("v2"), F.explode(F.array(F.struct(F.col("q1").alias("u1"), F.col("q2").alias("u2")), F.struct(F.col("p1").alias("u1"), F.col("p2").alias("u2")))).alias("u")).select("v1", "v2", "u.u1", "u.u2")
     first = near.where("v1 <> u1 or v2 <> u2").select(*_ordered("v1", "v2", "u1", "u2")).distinct()
-    links = durable(_verified(first, nodes, percent))
+    links = _verified(first, docs, nodes, k, percent)
     label = components(links)
 
     light = nodes.select("d1", "d2", "rep", "bitmap")
@@ -323,7 +354,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     dealt = inside.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "n", "d1", "d2", "comp", "block", F.least("block", "peer").alias("x"), F.greatest("block", "peer").alias("y"))
     cells = dealt.join(placed.select("d1", "d2", "bitmap"), ["d1", "d2"])
     rest = _across(cells, percent).select(*_ordered("a1", "a2", "b1", "b2")).distinct()
-    label = components(links.union(_verified(rest, nodes, percent)))
+    label = components(links.union(_verified(rest, docs, nodes, k, percent)))
 
     classes = reps.join(label, reps["rep"] == label["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     classed = rows.join(classes, ["d1", "d2"], "left")
