@@ -25,10 +25,10 @@ from .common import durable, map_texts, text_batches
 from .components import components
 
 #: Counters of the shingle sketch and bits of the node filter: fixed sizes, whatever the data.
-SKETCH = 1 << 20
+SKETCH = 1 << 22
 FILTER_BITS = 1 << 24
-#: 64-bit words of the bitmaps that tiles hold, and of those that pairs are held against before sets are fetched.
-BITMAP_WORDS, WIDE_WORDS = 16, 64
+#: 64-bit words of a set's bitmap: the first that leaves it sparse, by the largest set size for each; longer ones fold onto shorter.
+BITMAP_WORDS = ((1_000, 16), (4_000, 64), (1 << 62, 256))
 #: Sets in one comparison cell of a tile.
 CELL = 20_000
 
@@ -77,19 +77,24 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, total = np.zeros(SKETCH, np.int64), 0
+        sketch, total, waiting = np.zeros(SKETCH, np.int32), 0, []
         names = ["doc_id", "n", "d1", "d2", "bucket", "load"]
         for batch, texts in text_batches(batches, "text"):
             key, _, size = shingle_sets(texts, k)
             d1, d2 = digests(key, size)
-            bucket = (key & tv.U64(SKETCH - 1)).astype(np.int64)
-            np.add(sketch, np.bincount(bucket, minlength=SKETCH), out=sketch)
+            waiting.append((key & tv.U64(SKETCH - 1)).astype(np.int64))
             total += len(key)
+            if sum(map(len, waiting)) > SKETCH:
+                sketch += np.bincount(np.concatenate(waiting), minlength=SKETCH).astype(np.int32)
+                waiting = []
             none = pa.nulls(len(size), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(d1), pa.array(d2), none, none], names)
-        heavy = np.flatnonzero(sketch > max(16, 8 * total // SKETCH))
+        if waiting:
+            sketch += np.bincount(np.concatenate(waiting), minlength=SKETCH).astype(np.int32)
+        mean = total / SKETCH
+        heavy = np.flatnonzero(sketch > mean + 4 * np.sqrt(mean) + 3)
         none = pa.nulls(len(heavy), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(heavy), id_arrow), none, none, none, pa.array(heavy), pa.array(sketch[heavy])], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(heavy), id_arrow), none, none, none, pa.array(heavy), pa.array(sketch[heavy].astype(np.int64))], names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -177,19 +182,55 @@ def _node_filter(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _bits(members: np.ndarray, words: int) -> bytes:
-    flags = np.zeros(words * 64, np.uint8)
+def _class(size: np.ndarray) -> np.ndarray:
+    """Number of the bitmap length for each set size."""
+    return np.searchsorted([most for most, _ in BITMAP_WORDS], size)
+
+
+def _bitmap(members: np.ndarray) -> bytes:
+    flags = np.zeros(BITMAP_WORDS[int(_class(np.array([len(members)]))[0])][1] * 64, np.uint8)
     flags[(members >> tv.U64(40)).astype(np.int64) % len(flags)] = 1
     return np.packbits(flags).tobytes()
 
 
+class Bitmaps:
+    """Bitmaps of many sets, by length; bounds the overlap of pairs from above."""
+
+    def __init__(self, column: list[bytes], size: np.ndarray):
+        self.size, self.kind = size, _class(size)
+        self.at = np.zeros(len(size), np.int64)
+        self.rows = []
+        for number, (_, words) in enumerate(BITMAP_WORDS):
+            own = np.flatnonzero(self.kind == number)
+            self.at[own] = np.arange(len(own))
+            self.rows.append(np.frombuffer(b"".join([column[i] for i in own]), np.uint64).reshape(-1, words))
+
+    def _of(self, index: np.ndarray, number: int, words: int) -> np.ndarray:
+        got = self.rows[number][self.at[index]]
+        return np.bitwise_or.reduce(got.reshape(len(got), -1, words), axis=1)
+
+    def possible(self, percent: int, i: np.ndarray, other: Bitmaps, j: np.ndarray) -> np.ndarray:
+        """Whether pairs (i here, j in `other`) may meet the threshold: bits of one set only are members of that set only."""
+        out = np.zeros(len(i), bool)
+        for a in range(len(BITMAP_WORDS)):
+            for b in range(len(BITMAP_WORDS)):
+                at = np.flatnonzero((self.kind[i] == a) & (other.kind[j] == b))
+                words = min(BITMAP_WORDS[a][1], BITMAP_WORDS[b][1])
+                for part in np.array_split(at, -(-len(at) * words // (1 << 20)) or 1) if len(at) else []:
+                    x, y = self._of(i[part], a, words), other._of(j[part], b, words)
+                    n, m = self.size[i[part]], other.size[j[part]]
+                    most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+                    out[part] = 100 * most >= percent * (n + m - most)
+        return out
+
+
 def _nodes(docs: DataFrame, names: DataFrame, k: int, whole: bool) -> DataFrame:
-    """One row for each set in `names` (d1, d2): (d1, d2, n) with bitmap and wide, or with all members if `whole`.
+    """One row for each set in `names` (d1, d2): (d1, d2, n) with a bitmap, or with all members if `whole`.
 
     A filter of fixed size keeps most other documents from the shuffle; bytes hold 64-bit words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_node_filter(names))
-    columns = ["d1", "d2", "n", *(["members"] if whole else ["bitmap", "wide"])]
+    columns = ["d1", "d2", "n", *(["members"] if whole else ["bitmap"])]
     types = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * (len(columns) - 3)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,26 +248,25 @@ def _nodes(docs: DataFrame, names: DataFrame, k: int, whole: bool) -> DataFrame:
                     continue
                 seen.add(name)
                 members = key[ends[i] - size[i] : ends[i]]
-                for column, value in zip(out, (*name, int(size[i]), *([members.tobytes()] if whole else [_bits(members, BITMAP_WORDS), _bits(members, WIDE_WORDS)])), strict=True):
+                for column, value in zip(out, (*name, int(size[i]), *([members.tobytes()] if whole else [_bitmap(members)])), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], columns)
 
-    found = docs.mapInArrow(run, "d1 long, d2 long, n int, " + ("members binary" if whole else "bitmap binary, wide binary"))
+    found = docs.mapInArrow(run, "d1 long, d2 long, n int, " + ("members binary" if whole else "bitmap binary"))
     return found.join(names, ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that sizes and wide bitmaps don't rule out."""
-    left = nodes.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("n").alias("na"), F.col("wide").alias("x"))
-    right = nodes.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("n").alias("nb"), F.col("wide").alias("y"))
+    """The pairs that sizes and bitmaps don't rule out."""
+    left = nodes.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("n").alias("na"), F.col("bitmap").alias("x"))
+    right = nodes.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("n").alias("nb"), F.col("bitmap").alias("y"))
     both = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), WIDE_WORDS) for c in (4, 6))
-            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in (5, 7))
-            most = np.minimum(na - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), nb - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-            may = 100 * most >= percent * (na + nb - most)
+            x, y = (Bitmaps(batch.column(c).to_pylist(), batch.column(c + 1).to_numpy().astype(np.int64)) for c in (4, 6))
+            every = np.arange(len(batch))
+            may = x.possible(percent, every, y, every)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(4)], ["a1", "a2", "b1", "b2"]).filter(pa.array(may))
 
     return both.select("a1", "a2", "b1", "b2", "x", "na", "y", "nb").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
@@ -292,7 +332,7 @@ def _cell_pairs(part: pa.Table, cell: np.ndarray, percent: int) -> Iterator[pa.R
     name = np.append(0, np.cumsum((np.diff(cell, axis=0) != 0).any(1)))
     cross = cell[:, 1] != cell[:, 2]
     block, comp, d1, d2 = (part.column(c).to_numpy() for c in ("block", "comp", "d1", "d2"))
-    bitmap = np.frombuffer(b"".join(part.column("bitmap").to_pylist()), np.uint64).reshape(len(n), BITMAP_WORDS)
+    bitmaps = Bitmaps(part.column("bitmap").to_pylist(), n)
     live, step, found = np.arange(len(n)), 0, []
     while True:
         step += 1
@@ -304,13 +344,8 @@ def _cell_pairs(part: pa.Table, cell: np.ndarray, percent: int) -> Iterator[pa.R
             break
         ask = (comp[live] != comp[other]) & (~cross[live] | (block[live] != block[other]))
         i, j = live[ask], other[ask]
-        for at in range(0, len(i), 65536):
-            a, b = i[at : at + 65536], j[at : at + 65536]
-            only_a = np.bitwise_count(bitmap[a] & ~bitmap[b]).sum(1, dtype=np.int64)
-            only_b = np.bitwise_count(bitmap[b] & ~bitmap[a]).sum(1, dtype=np.int64)
-            most = np.minimum(n[a] - only_a, n[b] - only_b)
-            may = 100 * most >= percent * (n[a] + n[b] - most)
-            found.append(np.column_stack([a[may], b[may]]))
+        may = bitmaps.possible(percent, i, bitmaps, j)
+        found.append(np.column_stack([i[may], j[may]]))
         if sum(map(len, found)) > 200_000:
             yield _pair_batch(np.vstack(found), d1, d2)
             found = []
