@@ -6,9 +6,10 @@ only; shingles found often come last in the order, so that common passages make
 size and compared within the band that the threshold allows. Bits set in one bitmap and not in the other bound the overlap from
 above, before sorted arrays are intersected exactly.
 
-Links are found in two passes, so that a group of many near copies costs about its size and no link is lost: first each set is
-held against one neighbour and one pivot of its tile; the links found give components, and only sets of different components
-are then compared in full.
+Links are found in three passes, so that a group of many near copies costs about its size and no link is lost. First each set is
+held against one neighbour and one pivot of its tile, which settles tiles of two sets and most of three. The links found give
+components; sets of tiles with several components are held against the tile's hub, the linked set that meets most others over all
+its tiles, as copies are often near their original but not near one another. Only sets that are then still of different components are compared in full.
 """
 
 from __future__ import annotations
@@ -129,16 +130,17 @@ def _prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFra
 
 
 def _tiles(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Members of tiles of two sets at least, each with the set before it (q1, q2) and the first of its size band (p1, p2)."""
+    """Members of tiles of two sets at least, each with the set before it (q1, q2), the first of its size band (p1, p2), and
+    whether the tile has three sets or more (wide)."""
     narrow = np.log(100 / percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a streamed, sorted partition: only the last rows are carried on, never a tile
         held = np.zeros((0, 4), np.int64)
-        before, pivot = None, None
+        before, pivot, rank = None, None, 0
 
         def emit(rows: np.ndarray, upto: int):
-            nonlocal before, pivot
+            nonlocal before, pivot, rank
             extended = rows if before is None else np.vstack([before[None], rows])
             lead = len(extended) - len(rows)
             same = np.append(False, (extended[1:, 0] == extended[:-1, 0]))
@@ -150,27 +152,36 @@ def _tiles(prefixes: DataFrame, percent: int) -> DataFrame:
                 pivots[first == 0] = pivot
             index = np.arange(lead, lead + upto)
             follow = np.append(same[1:], False)
+            heads = np.flatnonzero(~same)
+            heads = heads if len(heads) and heads[0] == 0 else np.append(0, heads)
+            run_no = np.searchsorted(heads, np.arange(len(extended)), "right") - 1
+            lengths = np.diff(np.append(heads, len(extended)))  # seen so far; two rows are looked ahead
+            if lead:
+                lengths[0] += rank - 1
+            wide = lengths[run_no] >= 3
             keep = index[same[index] | follow[index]]
             previous = np.where(same[keep][:, None], extended[np.maximum(keep - 1, 0), 2:4], extended[keep, 2:4])
-            out = pa.RecordBatch.from_arrays([pa.array(x) for x in (extended[keep, 0], extended[keep, 1].astype(np.int32), extended[keep, 2], extended[keep, 3], previous[:, 0], previous[:, 1], pivots[keep, 0], pivots[keep, 1])], ["key", "n", "d1", "d2", "q1", "q2", "p1", "p2"])
+            out = pa.RecordBatch.from_arrays([pa.array(x) for x in (extended[keep, 0], extended[keep, 1].astype(np.int32), extended[keep, 2], extended[keep, 3], previous[:, 0], previous[:, 1], pivots[keep, 0], pivots[keep, 1], wide[keep])], ["key", "n", "d1", "d2", "q1", "q2", "p1", "p2", "wide"])
             if upto:
-                before, pivot = extended[index[-1]].copy(), pivots[index[-1]].copy()
+                last = index[-1]
+                rank = int(last - heads[run_no[last]] + 1) + (rank - 1 if lead and run_no[last] == 0 else 0)
+                before, pivot = extended[last].copy(), pivots[last].copy()
             return out
 
         for batch in batches:
             rows = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
             rows = np.vstack([held, rows])
             rows = rows[np.append(True, (np.diff(rows, axis=0) != 0).any(1))[: len(rows)]]
-            if len(rows) > 1:
-                yield emit(rows, len(rows) - 1)
-                held = rows[-1:]
+            if len(rows) > 2:
+                yield emit(rows, len(rows) - 2)
+                held = rows[-2:]
             else:
                 held = rows
         if len(held):
-            yield emit(held, 1)
+            yield emit(held, len(held))
 
     ordered = prefixes.repartition("key").sortWithinPartitions("key", "n", "d1", "d2")
-    return ordered.mapInArrow(run, "key long, n int, d1 long, d2 long, q1 long, q2 long, p1 long, p2 long")
+    return ordered.mapInArrow(run, "key long, n int, d1 long, d2 long, q1 long, q2 long, p1 long, p2 long, wide boolean")
 
 
 def _node_filter(nodes: DataFrame) -> np.ndarray:
@@ -357,6 +368,11 @@ def _pair_batch(pairs: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(d1[pairs[:, 0]]), pa.array(d2[pairs[:, 0]]), pa.array(d1[pairs[:, 1]]), pa.array(d2[pairs[:, 1]])], ["a1", "a2", "b1", "b2"])
 
 
+def _placed(nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """The nodes with the component that `label` gives, their own representative where it has none."""
+    return nodes.join(label, nodes["rep"] == label["node"], "left").select("d1", "d2", "rep", "bitmap", F.coalesce("component", "rep").alias("comp"))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id.
 
@@ -379,11 +395,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     near = tiles.select(F.col("d1").alias("v1"), F.col("d2").alias("v2"), F.explode(F.array(F.struct(F.col("q1").alias("u1"), F.col("q2").alias("u2")), F.struct(F.col("p1").alias("u1"), F.col("p2").alias("u2")))).alias("u")).select("v1", "v2", "u.u1", "u.u2")
     first = near.where("v1 <> u1 or v2 <> u2").select(*_ordered("v1", "v2", "u1", "u2")).distinct()
     links = _verified(first, docs, nodes, k, percent)
-    label = components(links)
-
-    light = nodes.select("d1", "d2", "rep", "bitmap")
-    placed = light.join(label, light["rep"] == label["node"], "left").select("d1", "d2", "bitmap", F.coalesce("component", "rep").alias("comp"))
-    members = tiles.select("key", "n", "d1", "d2").join(placed.select("d1", "d2", "comp"), ["d1", "d2"])
+    placed = _placed(nodes, components(links)).drop("bitmap")
+
+    wide = tiles.where("wide").select("key", "n", "d1", "d2", "p1", "p2")
+    mass = wide.join(wide.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("d1", "d2").agg(F.sum("size").alias("mass"))
+    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ranked = placed.join(mass, ["d1", "d2"]).join(linked, placed["rep"] == linked["node"], "left").select("d1", "d2", "comp", F.when(F.col("node").isNotNull(), F.col("mass")).otherwise(0).alias("mass"))
+    members = wide.join(ranked, ["d1", "d2"])
+    band = F.struct("p1", "p2")  # three sets of one band are settled: two neighbours, and the third against its pivot
+    unsettled = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), (F.min(band) != F.max(band)).alias("bands"), F.max(F.struct("mass", F.col("d1").alias("h1"), F.col("d2").alias("h2"), F.col("comp").alias("hub_comp"), F.col("n").alias("hub_n"))).alias("hub")).where("lo <> hi and (size > 3 or bands)").select("key", "hub")
+    open_tiles = durable(members.join(unsettled, "key").select("key", "n", "d1", "d2", "comp", "hub.*"))
+    to_hub = open_tiles.where(f"mass > 0 and comp <> hub_comp and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(*_ordered("d1", "d2", "h1", "h2")).distinct()
+    links = links.union(_verified(to_hub, docs, nodes, k, percent))
+
+    placed = durable(_placed(nodes, components(links)))
+    members = open_tiles.select("key", "n", "d1", "d2").join(placed.select("d1", "d2", "comp"), ["d1", "d2"])
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", F.ceil(F.col("size") / cell).cast("int").alias("blocks"))
     inside = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int"))
     dealt = inside.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "n", "d1", "d2", "comp", "block", F.least("block", "peer").alias("x"), F.greatest("block", "peer").alias("y"))
