@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +68,31 @@ def text_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = KE
         yield batch.slice(begin), texts.slice(begin)
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, and then the memory it freed goes back to the system: Python workers outlive their tasks and would hold on to it."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
+def filter_texts(df: DataFrame, verdict: Callable[[pa.Array], np.ndarray], text_col: str = "text", limit: int = KERNEL_BYTES) -> DataFrame:
+    """The rows of `df`, all columns as they are, whose text `verdict(texts)` marks true; a narrow map, without a shuffle or an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_batches(batches, text_col, limit):
+            yield batch.filter(pa.array(verdict(texts)))
+
+    return df.mapInArrow(releasing(run), df.schema)
+
+
 def map_texts(df: DataFrame, kernel: Callable[[pa.Array], dict], result: str, id_col: str = "doc_id", text_col: str = "text", limit: int = KERNEL_BYTES) -> DataFrame:
     """One output row for each input row: the id and what `kernel(texts)` returns, a dict of columns typed by the DDL `result`.
 
@@ -83,4 +110,4 @@ def map_texts(df: DataFrame, kernel: Callable[[pa.Array], dict], result: str, id
             arrays = [columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name]) for f in arrow]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(releasing(run), schema)

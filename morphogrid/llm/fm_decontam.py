@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import text_batches
+from .common import releasing, text_batches
 
 WINDOW = 8
 #: Bytes of documents in one index, and of benchmark text in one block; more blocks mean more passes.
@@ -258,7 +258,7 @@ def mark_benchmark(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_
                 own = [batch.column(0), batch.column(1), pa.nulls(len(texts), pa.string()) if last else batch.column(2)]  # the last pass needs no text any more
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip([*own, pa.array(n, pa.int64()), pa.array(named, arrow.field(4).type), pa.array(items, pa.list_(pa.string()))], arrow, strict=True)], schema=arrow)
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(releasing(run), schema)
     return out.select("doc", "doc_id", "n_words", "spans", "items")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import durable, map_texts, text_batches
+from .common import durable, map_texts, releasing, text_batches
 from .components import components
 
 #: Counters of the shingle sketch and bits of the node filter: fixed sizes, whatever the data.
@@ -100,7 +100,7 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_arrow = to_arrow_type(docs.schema["doc_id"].dataType)
-    return docs.mapInArrow(run, f"doc_id {id_type}, n long, d1 long, d2 long, bucket long, load long")
+    return docs.mapInArrow(releasing(run), f"doc_id {id_type}, n long, d1 long, d2 long, bucket long, load long")
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFrame:
@@ -126,7 +126,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFra
             of = owner[take]
             yield pa.RecordBatch.from_arrays([pa.array(key[take].view(np.int64)), pa.array(size[of].astype(np.int32)), pa.array(d1[of]), pa.array(d2[of])], ["key", "n", "d1", "d2"])
 
-    return docs.mapInArrow(run, "key long, n int, d1 long, d2 long")
+    return docs.mapInArrow(releasing(run), "key long, n int, d1 long, d2 long")
 
 
 def _tiles(prefixes: DataFrame, percent: int) -> DataFrame:
@@ -181,7 +181,7 @@ def _tiles(prefixes: DataFrame, percent: int) -> DataFrame:
             yield emit(held, len(held))
 
     ordered = prefixes.repartition("key").sortWithinPartitions("key", "n", "d1", "d2")
-    return ordered.mapInArrow(run, "key long, n int, d1 long, d2 long, q1 long, q2 long, p1 long, p2 long, wide boolean")
+    return ordered.mapInArrow(releasing(run), "key long, n int, d1 long, d2 long, q1 long, q2 long, p1 long, p2 long, wide boolean")
 
 
 def _node_filter(nodes: DataFrame) -> np.ndarray:
@@ -263,7 +263,7 @@ def _nodes(docs: DataFrame, names: DataFrame, k: int, whole: bool) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], columns)
 
-    found = docs.mapInArrow(run, "d1 long, d2 long, n int, " + ("members binary" if whole else "bitmap binary"))
+    found = docs.mapInArrow(releasing(run), "d1 long, d2 long, n int, " + ("members binary" if whole else "bitmap binary"))
     return found.join(names, ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
 
 
@@ -280,7 +280,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             may = x.possible(percent, every, y, every)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(4)], ["a1", "a2", "b1", "b2"]).filter(pa.array(may))
 
-    return both.select("a1", "a2", "b1", "b2", "x", "na", "y", "nb").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+    return both.select("a1", "a2", "b1", "b2", "x", "na", "y", "nb").mapInArrow(releasing(run), "a1 long, a2 long, b1 long, b2 long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -304,7 +304,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perce
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(4)], ["a1", "a2", "b1", "b2"]).filter(pa.array(keep, pa.bool_()))
 
-    linked = both.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+    linked = both.mapInArrow(releasing(run), "a1 long, a2 long, b1 long, b2 long")
     light = lambda x, y, rep: nodes.select(F.col("d1").alias(x), F.col("d2").alias(y), F.col("rep").alias(rep))
     return durable(linked.join(light("a1", "a2", "a"), ["a1", "a2"]).join(light("b1", "b2", "b"), ["b1", "b2"]).select("a", "b"))
 
@@ -335,7 +335,7 @@ def _across(cells: DataFrame, percent: int) -> DataFrame:
             yield from _cell_pairs(part, cell, percent)
 
     ordered = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n")
-    return ordered.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+    return ordered.mapInArrow(releasing(run), "a1 long, a2 long, b1 long, b2 long")
 
 
 def _cell_pairs(part: pa.Table, cell: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
