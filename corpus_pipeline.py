@@ -5,27 +5,21 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from morphogrid.llm import bpe_prefix, fm_decontam, jaccard_join, quality_ranker, repetition_rules
 from morphogrid.llm.common import checkpoint_folder, default_spec, table
 from morphogrid.session import ship_package
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of `docs` whose id `kept` has, and those without an id."""
-    return docs.join(kept.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
-    return _only(docs, repetition_rules.repetition_rules(docs).where("kept"))
+    return repetition_rules.kept_rows(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at the cut or above; the ranking learns from the labels of the whole documents table."""
     model = quality_ranker.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return _only(docs, quality_ranker.quality_scores(docs, model).where("predicted = 1"))
+    return quality_ranker.kept_rows(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import held_out, map_texts
+from .common import filter_texts, held_out, map_texts
 from .repetition_rules import FIRST_BYTE, SYMBOLS
 
 CUT = 0.7
@@ -126,3 +126,8 @@ def quality_scores(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text
 
     scored = map_texts(docs, kernel, "score double, predicted int", id_col, text_col)
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def kept_rows(docs: DataFrame, model: Ranking, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose texts score 0.7 or more, with all their columns; each row is judged by itself."""
+    return filter_texts(docs, lambda texts: model.score(features(texts)) >= CUT, text_col)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textvec as tv
-from .common import map_texts
+from .common import filter_texts, map_texts
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -60,3 +60,8 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words, all counts 0, and fails. Other columns of `docs` aren't read; an empty table gives an empty result.
     """
     return map_texts(docs, lambda texts: measure(texts, max_line_share, max_5gram_share, max_9gram_share), RESULT, id_col, text_col)
+
+
+def kept_rows(docs: DataFrame, text_col: str = "text", max_line_share: float = 0.5, max_5gram_share: float = 0.45, max_9gram_share: float = 0.4) -> DataFrame:
+    """The rows of `docs` whose texts `repetition_rules` keeps, with all their columns; each row is judged by itself."""
+    return filter_texts(docs, lambda texts: measure(texts, max_line_share, max_5gram_share, max_9gram_share)["kept"], text_col)
