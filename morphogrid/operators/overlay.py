@@ -96,3 +96,11 @@ def neighbours(cells: DataFrame) -> DataFrame:
     shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
     moved = cells.select("unit_id", "col", "row", shifts.alias("s")).select("unit_id", (F.col("col") + F.col("s.i")).alias("col"), (F.col("row") + F.col("s.j")).alias("row"))
     return moved.join(cells.select("col", "row", F.col("unit_id").alias("neighbour")), ["col", "row"]).select("unit_id", "neighbour")
+
+
+def points_in_boxes(points: DataFrame, units: DataFrame, size: int = 100) -> DataFrame:
+    """Pairs of a point (px, py: twice its coordinates) and a unit it lies strictly inside; an equi-join on the point's bucket."""
+    spread = units.withColumn("_bx", _buckets("ux0", "ux1", size)).withColumn("_by", _buckets("uy0", "uy1", size))
+    placed = points.withColumn("_bx", F.floor(F.col("px") / (2 * size))).withColumn("_by", F.floor(F.col("py") / (2 * size)))
+    inside = (F.col("px") > 2 * F.col("ux0")) & (F.col("px") < 2 * F.col("ux1")) & (F.col("py") > 2 * F.col("uy0")) & (F.col("py") < 2 * F.col("uy1"))
+    return placed.join(spread, ["_bx", "_by"]).where(inside).drop("_bx", "_by")

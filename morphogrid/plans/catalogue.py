@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import agreement as ag
+from ..operators import graph as gr
 from ..operators import heights as ht
 from ..operators import overlay as ov
 from ..operators import zones as zn
@@ -609,3 +610,64 @@ def spatial_anti_join(spark, d):
     as_units = parcels.select("land_id", F.col("x0").alias("ux0"), F.col("y0").alias("uy0"), F.col("x1").alias("ux1"), F.col("y1").alias("uy1"))
     hit = ov.overlay_boxes(as_units, city.relation(spark, d, "buildings")).select("land_id").distinct()
     return parcels.select("land_id").join(hit, "land_id", "left_anti")
+
+
+# ---------------------------------------------------------------- labels from patches, components, resampling, windows
+@query(f"""WITH p AS (SELECT part_id, 1 + part_id % 17 AS label, x0 + x1 AS px, y0 + y1 AS py FROM {B}),
+m AS (SELECT p.part_id, p.label, l.land_id, count(*) OVER (PARTITION BY p.part_id) AS n FROM p JOIN {L} l ON px > 2 * l.x0 AND px < 2 * l.x1 AND py > 2 * l.y0 AND py < 2 * l.y1)
+SELECT part_id, label, land_id FROM m WHERE n = 1""")
+def label_by_centre(spark, d):
+    """The parcel that holds a patch's centre strictly inside; patches in several parcels are ambiguous and, as those in none, dropped."""
+    patches = city.relation(spark, d, "buildings").select("part_id", (1 + F.col("part_id") % 17).alias("label"), (F.col("x0") + F.col("x1")).alias("px"), (F.col("y0") + F.col("y1")).alias("py"))
+    units = city.relation(spark, d, "land_use").select("land_id", F.col("x0").alias("ux0"), F.col("y0").alias("uy0"), F.col("x1").alias("ux1"), F.col("y1").alias("uy1"))
+    found = ov.points_in_boxes(patches, units)
+    return found.groupBy("part_id", "label").agg(F.min("land_id").alias("land_id"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
+@query(f"""WITH a AS (SELECT unit_id, unit_area, 1 + p_size % 17 AS label, sum(piece_area) AS area FROM {PL} GROUP BY 1, 2, 3)
+SELECT unit_id, arg_max(label, area * 100 - label) AS label, least(1.0, sum(area) / any_value(unit_area)) AS coverage FROM a GROUP BY 1""")
+def label_by_area(spark, d):
+    """The class with the largest area in a cell, the lower code of equal ones; the covered share is at most 1."""
+    area = _land_pieces(spark, d).groupBy("unit_id", "unit_area", (1 + F.col("p_size") % 17).alias("label")).agg(F.sum("piece_area").alias("area"))
+    return area.groupBy("unit_id").agg(F.max_by("label", F.struct("area", -F.col("label"))).alias("label"), F.least(F.lit(1.0), F.sum("area") / F.first("unit_area")).alias("coverage"))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT a.part_id AS a, b.part_id AS b FROM {B} a JOIN {B} b ON a.part_id <> b.part_id AND a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY a""")
+def connected_overlap_components(spark, d):
+    """Parts that overlap another, with the least part of their component; a shared edge is no overlap."""
+    return gr.connected(QUERIES["overlapping_pairs"](spark, d))
+
+
+STEPS = [i / 20 for i in range(1, 20)]
+DRAW = "(r * 31 + block * 17 + r * block) % 3"
+
+
+@query(f"""WITH b AS (SELECT city AS block, sum(weight) AS w, sum(CASE WHEN predicted = reference THEN weight ELSE 0 END) AS hit FROM {LB} WHERE reference IS NOT NULL GROUP BY 1),
+s AS (SELECT r, sum(hit * ({DRAW})) / nullif(sum(w * ({DRAW})), 0) AS score FROM b, (SELECT unnest(range(200)) AS r) GROUP BY r)
+SELECT count(score) AS draws, round(quantile_cont(score, 0.025), 6) AS low, round(quantile_cont(score, 0.5), 6) AS middle, round(quantile_cont(score, 0.975), 6) AS high FROM s""")
+def bootstrap_draw_scores(spark, d):
+    """Percentile interval of the weighted agreement over a fixed table of block draws: units are summed by block before any draw."""
+    rows = city.relation(spark, d, "labels2").where("reference is not null")
+    blocks = rows.groupBy(F.col("city").alias("block")).agg(F.sum("weight").alias("w"), F.sum(F.when(F.col("predicted") == F.col("reference"), F.col("weight")).otherwise(0.0)).alias("hit"))
+    drawn = blocks.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(199)))).withColumn("m", F.expr(DRAW))
+    score = drawn.groupBy("r").agg((F.sum(F.col("hit") * F.col("m")) / F.nullif(F.sum(F.col("w") * F.col("m")), F.lit(0.0))).alias("score"))
+    at = lambda q: F.round(F.percentile("score", F.lit(q)), 6)
+    return score.agg(F.count("score").alias("draws"), at(0.025).alias("low"), at(0.5).alias("middle"), at(0.975).alias("high"))
+
+
+@query(f"""WITH p AS (SELECT (x0 + x1) / 2.0 AS x, (y0 + y1) / 2.0 AS y FROM {B}),
+k AS (SELECT quantile_cont(x, {STEPS}) AS xs, quantile_cont(y, {STEPS}) AS ys FROM p), q AS (SELECT unnest(range(1, 20)) AS i, unnest(xs) AS cx, unnest(ys) AS cy FROM k)
+SELECT a.i, b.i AS j, round(a.cx, 6) AS cx, round(b.cy, 6) AS cy, count(*) AS n FROM q a, q b, p WHERE abs(x - a.cx) <= 200 AND abs(y - b.cy) <= 200 GROUP BY ALL ORDER BY n DESC, a.i, b.i LIMIT 1""")
+def densest_window(spark, d):
+    """Of 19 by 19 windows at quantiles of the centres the first that holds most centres; the report is one row."""
+    centres = city.relation(spark, d, "buildings").select(((F.col("x0") + F.col("x1")) / 2.0).alias("x"), ((F.col("y0") + F.col("y1")) / 2.0).alias("y"))
+    steps = F.array(*map(F.lit, STEPS))
+    xs, ys = centres.agg(F.percentile("x", steps), F.percentile("y", steps)).first()
+    if xs is None:
+        return centres.selectExpr("1 AS i", "1 AS j", "x AS cx", "y AS cy", "1L AS n").limit(0)
+    listed = lambda values: F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("c")) for i, v in enumerate(values, 1)])
+    near = centres.withColumn("a", F.explode(F.filter(listed(xs), lambda s: F.abs(F.col("x") - s["c"]) <= 200)))
+    near = near.withColumn("b", F.explode(F.filter(listed(ys), lambda s: F.abs(F.col("y") - s["c"]) <= 200)))
+    counts = near.groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.round("a.c", 6).alias("cx"), F.round("b.c", 6).alias("cy")).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "i", "j").limit(1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, name: str = "morphogrid") -> SparkSession:
@@ -38,3 +38,13 @@ def ship_package(spark: SparkSession) -> None:
             archive.write(path, path.relative_to(root.parent))
     context.addPyFile(str(target))
     context._morphogrid_shipped = True
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` in the folder of spark.checkpoint.dir; only where none is set (tests, notebooks) a temporary one is made."""
+    import tempfile
+
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()

@@ -31,7 +31,7 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(catalogue.QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["overlay_pieces", "height_moments", "covered_fraction_dissolved", "surface_fractions", "classify_units", "modal_filter", "class_indistinguishable", "normalised_gap", "axis_lift", "tile_assignment"])
+@pytest.mark.parametrize("name", ["overlay_pieces", "height_moments", "covered_fraction_dissolved", "surface_fractions", "classify_units", "modal_filter", "class_indistinguishable", "normalised_gap", "axis_lift", "tile_assignment", "label_by_centre", "label_by_area", "connected_overlap_components", "bootstrap_draw_scores", "densest_window"])
 def test_query_equals_its_sql(spark, sql, name):
     got, want = catalogue.QUERIES[name](spark, SF), sql.sql(catalogue.ORACLES[name])
     columns = sorted(want.columns)

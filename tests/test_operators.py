@@ -141,3 +141,12 @@ def test_missing_vocabulary_is_no_match(spark):
     f = spark.createDataFrame([(None, "industrial"), ("x", None), (None, None)], "subtype string, class string")
     assert [r[0] for r in f.select(ht.selected(["industrial"], ["industrial"])).collect()] == [True, False, False]
     assert [r[0] for r in f.select(ht.tagged("subtype", "class")).collect()] == [True, True, False]
+
+
+def test_components_of_paths_loops_and_nothing(spark):
+    from morphogrid.operators.graph import connected
+
+    edges = [(k, k + 1) for k in range(30)] + [(50, 40), (40, 50), (60, 60), (None, 3)]
+    got = dict(connected(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {k: 0 for k in range(31)} | {40: 40, 50: 40, 60: 60}
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
