@@ -13,24 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable
+from .license_texts import PARAGRAPHS
 
 #: Phrases of consecutive words and their labels. These count as base matches.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Further phrases and passages of public licenses with the method's own labels.
-PASSAGES = (
-    ("cc by", "cc-by"),
-    ("cc by nc", "cc-by-nc"),
-    ("cc by sa", "cc-by-sa"),
-    ("creative commons attribution", "cc-by"),
-    ("bsd license", "bsd"),
-    ("mozilla public license", "mpl"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit-text"),
-    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit-text"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd-text"),
-    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "apache-text"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl-text"),
-    ("this work is licensed under the gnu general public license version", "gpl-text"),
-)
+#: Further names of licenses, whole phrases that prose does not use by chance; paragraphs of license texts come beside them.
+NAMES = (
+    ("cc by 4 0", "cc-by"), ("cc by sa 4 0", "cc-by-sa"), ("cc by nc 4 0", "cc-by-nc"), ("creative commons attribution", "cc-by"),
+    ("bsd 2 clause license", "bsd"), ("bsd 3 clause license", "bsd"), ("mozilla public license", "mpl"), ("eclipse public license", "epl"), ("boost software license", "boost"),
+)
 #: Word pairs of a passage that ordinary prose is full of; they don't vote.
 WEAK = {"of", "the", "to", "and", "in", "is", "a", "or", "it", "this", "by", "be", "on", "an", "as", "are", "that"}
 
@@ -41,13 +32,15 @@ class Template:
     words: tuple[str, ...]
     label: str
     base: bool
+    phrase: bool  # counts in full only, a paragraph by its share
 
     def pairs(self) -> list[tuple[int, str, str]]:
         both = list(enumerate(zip(self.words, self.words[1:], strict=False)))
-        return [(k, a, b) for k, (a, b) in both if len(self.words) <= 3 or not {a, b} <= WEAK]
+        return [(k, a, b) for k, (a, b) in both if self.phrase or not {a, b} <= WEAK]
 
 
-TEMPLATES = tuple(Template(i, tuple(t.split()), label, base) for i, (t, label, base) in enumerate([*((t, x, True) for t, x in BASE.items()), *((t, x, False) for t, x in PASSAGES)]))
+_RANKED = [*((t, x, True, True) for t, x in BASE.items()), *((t, x, False, True) for t, x in NAMES), *((t, x, False, False) for t, x in PARAGRAPHS)]
+TEMPLATES = tuple(Template(i, tuple(t.split()), label, base, phrase) for i, (t, label, base, phrase) in enumerate(_RANKED))
 
 
 def words_of(text: Column) -> Column:
@@ -62,15 +55,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     n_words: words of the text. n_base: places where a base phrase stands; first_word and last_word: the least and the largest of
     them (words from 0; null without one). base_labels, labels: distinct, sorted, comma-joined ('' without one). score: the largest
-    share of a template's voting pairs in one span, 0 to 1; passages count as found from `min_share` on, phrases of up to three words
-    in full. `gap`: how far apart diagonals may lie to merge. Null or empty texts: no words, no labels, score 0. Repeated rows and
+    share of a template's voting pairs in one span, 0 to 1; paragraphs count as found from `min_share` on, names in full. `gap`: how far apart diagonals may lie to merge. Null or empty texts: no words, no labels, score 0. Repeated rows and
     null ids stay; other columns of `docs` aren't read.
     """
     spark = docs.sparkSession
     pairs = [(t.number, k, a, b) for t in TEMPLATES for k, a, b in t.pairs()]
     table = spark.createDataFrame(pairs, "template int, place int, left string, right string").withColumn("pair", F.xxhash64("left", "right"))
     hashes = [r["pair"] for r in table.select("pair").distinct().collect()]  # as many as the constant templates have
-    about = spark.createDataFrame([(t.number, t.label, t.base, len(t.pairs()), len(t.words)) for t in TEMPLATES], "template int, label string, base boolean, n_pairs int, length int")
+    about = spark.createDataFrame([(t.number, t.label, t.base, t.phrase, len(t.pairs()), len(t.words)) for t in TEMPLATES], "template int, label string, base boolean, phrase boolean, n_pairs int, length int")
 
     words = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w"))
     n = F.size("w")
@@ -84,10 +76,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     votes = matched.groupBy("row", "template", (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("place").alias("places"))
     votes = votes.join(F.broadcast(about), "template")
 
-    short = votes.where((F.col("length") <= 3) & (F.col("votes") == F.col("n_pairs"))).select("row", "label", "base", F.col("first").cast("long").alias("at"), F.lit(1.0).alias("share"))
+    short = votes.where(F.col("phrase") & (F.col("votes") == F.col("n_pairs"))).select("row", "label", "base", F.col("first").cast("long").alias("at"), F.lit(1.0).alias("share"))
     order = Window.partitionBy("row", "template").orderBy("first", "diagonal")
     step = (F.col("diagonal") - F.lag("diagonal").over(order) > gap) | (F.lag("diagonal").over(order) - F.col("diagonal") > gap) | (F.col("first") - F.lag("first").over(order) > F.col("length") + gap)
-    spans = votes.where(F.col("length") > 3).withColumn("new", F.coalesce(step, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = votes.where(~F.col("phrase")).withColumn("new", F.coalesce(step, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = spans.groupBy("row", "template", "span", "label", "n_pairs").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"), F.min("first").alias("at"))
     long = spans.select("row", F.when(F.col("votes") >= min_share * F.col("n_pairs"), F.col("label")).alias("label"), F.lit(False).alias("base"), F.col("at").cast("long").alias("at"), (F.col("votes") / F.col("n_pairs")).alias("share"))
 
