@@ -102,14 +102,15 @@ def fit(raw: np.ndarray, good: np.ndarray, pairs: int = 60_000, ridge: float = 1
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = 20_000) -> Ranking:
     """Fit on at most `max_labels` labelled rows outside the held-out fold, those first by a hash of the id.
 
-    Rows with a null id or label teach nothing. Only their features reach the driver, never texts.
+    Rows with a null id or label teach nothing. Only the features of at most `max_labels` rows reach the driver, never texts, also where
+    one id is repeated.
     """
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labels)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "doc_id")
     named = rows.withColumn("doc_id", F.struct("doc_id", "label"))
-    table = map_texts(named, lambda t: {"f": pa.FixedSizeListArray.from_arrays(features(t).ravel(), len(FEATURES)).cast(pa.list_(pa.float64()))}, "f array<double>").selectExpr("doc_id.doc_id", "doc_id.label", "f").toPandas()
-    table = table.sort_values(["doc_id", "label"], kind="stable").head(max_labels)
+    table = map_texts(named, lambda t: {"f": pa.FixedSizeListArray.from_arrays(features(t).ravel(), len(FEATURES)).cast(pa.list_(pa.float64()))}, "f array<double>").selectExpr("doc_id.doc_id", "doc_id.label", "f")
+    table = table.orderBy("doc_id", "label", "f").limit(max_labels).toPandas()
     raw = np.vstack(table["f"].to_list()) if len(table) else np.zeros((0, len(FEATURES)))
     return fit(raw, table["label"].to_numpy() == 1)
 
