@@ -14,12 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import releasing, text_batches
+from .common import durable, releasing, text_batches
 
 WINDOW = 8
 #: Bytes of documents in one index, and of benchmark text in one block; more blocks mean more passes.
@@ -219,12 +221,15 @@ def _union(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> list[list[tuple[str, str]]]:
-    """The benchmark as blocks of about `limit` bytes; its size is measured before anything is collected."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[Broadcast]:
+    """The phrases of the benchmark in blocks of about `limit` bytes; its size is measured before anything is collected, and the driver
+    holds one block at a time: a broadcast value lies in a file."""
     rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("name"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     parts = int(size // limit) + 1
-    return [[(r["name"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(parts)) == k).collect()] for k in range(parts)]
+    for k in range(parts):
+        block = rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(parts)) == k)
+        yield benchmark.sparkSession.sparkContext.broadcast(phrases([(r["name"], r["text"]) for r in block.collect()]))
 
 
 def mark_benchmark(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: bool = True) -> DataFrame:
@@ -240,12 +245,11 @@ def mark_benchmark(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_
     span = "spans array<struct<word:int,end_word:int,byte:int,end_byte:int>>, items array<string>"
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns] if carry else [F.col(id_col)]).alias("doc"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = out.withColumn("n_words", F.lit(0).cast("long"))
-    blocks = [phrases(b) for b in _blocks(benchmark, item_col, item_text_col, block_bytes)]
-    for number, block in enumerate(blocks):
+    blocks = list(_blocks(benchmark, item_col, item_text_col, block_bytes))
+    for number, shared in enumerate(blocks):
         last = number == len(blocks) - 1
         schema = T.StructType([*out.schema.fields[:4], *T._parse_datatype_string(span).fields])
         arrow = to_arrow_schema(schema)
-        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, arrow=arrow, later=number > 0, last=last) -> Iterator[pa.RecordBatch]:
             for batch, texts in text_batches(batches, "text", SHARD_BYTES):
@@ -271,12 +275,64 @@ def digest(marked: DataFrame, least: int = 2) -> DataFrame:
     )
 
 
-def cut_spans(marked: DataFrame, columns: list[str], text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
-    """The documents' own columns, with the removal spans cut from the text; `count_col` is counted anew where a span went."""
-    raw = F.col(f"doc.`{text_col}`").cast("binary")
-    begins = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["end_byte"]))
-    ends = F.concat(F.transform("spans", lambda s: s["byte"]), F.array(F.octet_length(raw)))
-    pieces = F.zip_with(begins, ends, lambda b, e: F.substring(raw, b + 1, e - b).cast("string"))
-    text = F.when(F.size("spans") > 0, F.array_join(pieces, "")).otherwise(F.col(f"doc.`{text_col}`"))
-    out = [text.alias(c) if c == text_col else F.when(F.size("spans") > 0, F.length(text)).otherwise(F.col(f"doc.`{c}`")).cast(marked.schema["doc"].dataType[c].dataType).alias(c) if c == count_col else F.col(f"doc.`{c}`") for c in columns]
-    return marked.select(*out)
+def without_passages(texts: pa.Array, wanted: Phrases) -> dict[int, str]:
+    """The texts of a shard in which phrases occur, without the spans of all occurrences; cut until none occurs, as what stood on
+    either side of a span may make up another one."""
+    out: dict[int, str] = {}
+    rows = list(range(len(texts)))
+    while rows:
+        _, spans, _ = _find(texts, wanted)
+        again = []
+        for k, row in enumerate(rows):
+            if spans[k]:
+                raw, at, pieces = texts[k].as_py().encode(), 0, []
+                for _, _, begin, end in spans[k]:
+                    pieces.append(raw[at:begin])
+                    at = end
+                out[row] = b"".join([*pieces, raw[at:]]).decode()
+                again.append(row)
+        rows = again
+        texts = pa.array([out[r] for r in rows], pa.large_string())
+    return out
+
+
+def remove_passages(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", item_text_col: str = "text", count_col: str = "n_chars", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """`docs` with all their columns, without the passages of benchmark items: no window of an item occurs in a text any more.
+
+    `count_col`, where there is one, is counted anew (code points) in rows that were cut. Null and empty texts, null ids and repeated rows
+    stay as they are; an empty benchmark cuts nothing. A narrow map for each block of the benchmark; several blocks are gone through again
+    until none cuts.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(docs.schema)
+    at, counted = docs.columns.index(text_col), docs.columns.index(count_col) if count_col in docs.columns else None
+    blocks = list(_blocks(benchmark, item_col, item_text_col, block_bytes))
+
+    def cut(df: DataFrame, shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in text_batches(batches, text_col, SHARD_BYTES):
+                changed = without_passages(texts, shared.value)
+                columns = list(batch.columns)
+                if changed:
+                    rows = pa.array([k in changed for k in range(len(batch))])
+                    fresh = [changed[k] for k in sorted(changed)]
+                    columns[at] = pc.replace_with_mask(columns[at], rows, pa.array(fresh, columns[at].type))
+                    if counted is not None:
+                        columns[counted] = pc.replace_with_mask(columns[counted], rows, pa.array([len(t) for t in fresh]).cast(columns[counted].type))
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        return df.mapInArrow(releasing(run), docs.schema)
+
+    if len(blocks) == 1:
+        return cut(docs, blocks[0])
+    total = F.sum(F.octet_length(text_col))
+    before = docs.agg(total).first()[0]
+    while True:
+        for block in blocks:
+            docs = cut(docs, block)
+        docs = durable(docs)
+        now = docs.agg(total).first()[0]
+        if now == before:
+            return docs
+        before = now
