@@ -216,14 +216,14 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 50, rate: float = 0.3
     return Tagger(known[keep], w[:-5][keep], *map(float, w[-5:]), (constant, *slopes))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = 1_600, max_bytes: int = 32_768) -> Tagger:
-    """Fit on at most `max_labels` labelled rows outside the held-out fold, half of each label, of texts up to `max_bytes`.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = 1_600) -> Tagger:
+    """Fit on the whole texts of at most `max_labels` labelled rows outside the held-out fold, half of each label.
 
     Equal texts teach once. Rows with a null id or label teach nothing.
     """
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & ~held_out())
     half = [marks.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels // 2) for k in (0, 1)]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= max_bytes).join(F.broadcast(half[0].union(half[1])), "doc_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(half[0].union(half[1])), "doc_id")
     table = rows.dropDuplicates(["text"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels).toPandas()
     counts = {r["label"]: r["count"] for r in marks.where(F.col("label").isin(0, 1)).groupBy("label").count().collect()}
     return fit(table["text"].to_list(), table["label"].to_numpy() == 1, base_odds=counts.get(1, 0) / max(counts.get(0, 0), 1))
@@ -232,7 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def toxicity(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: doc_id, held_out, score, predicted (1 from a score of 0.3 on), and the offending spans.
 
-    Spans are (begin, end) in code points. Null and empty texts score 0 without spans; null ids count as not held out; repeated rows
+    Spans are (begin, end) in code points. Null and empty texts have no spans and the score of no evidence, as any text without a toxic
+    word has; null ids count as not held out; repeated rows
     stay.
     """
 
