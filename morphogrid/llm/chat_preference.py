@@ -47,8 +47,20 @@ def preference_rows(turns: DataFrame, pairs: DataFrame, conv_col: str = "conv_id
     )
 
 
-def neighbour_pairs(turns: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """Pairs of conversations 2k (chosen) and 2k + 1 (rejected), where both are there: a stand-in for recorded preferences."""
-    both = turns.where(F.col(conv_col).isNotNull()).select(F.floor(F.col(conv_col) / 2).cast("long").alias("pair_id"), F.col(conv_col).alias("conv"))
-    ends = both.groupBy("pair_id").agg(F.min("conv").alias("chosen"), F.max("conv").alias("rejected"))
-    return ends.where(F.col("chosen") < F.col("rejected"))
+def cut_replies(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(turns, pairs) for `preference_rows` where no preferences are recorded: a reply in full is preferred to the same reply cut short.
+
+    Each conversation with an assistant turn gives one pair, named by its id. Chosen: its turns up to the last assistant turn. Rejected:
+    the same turns, but in that last one the assistant's texts keep only the first half of their code points (rounded down). So the common
+    prefix is all that stands before the last reply. A conversation whose last reply is empty or null is equal to its partner and gives a
+    prompt only. Null turn numbers count as -1; rows with a null conversation, or after the last reply, and conversations without a reply
+    belong to no pair. conv_id in the result is text: the id and the side.
+    """
+    say = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).alias("pair_id"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    ends = say.where("role = 'assistant'").groupBy("pair_id").agg(F.max("turn").alias("last"))
+    upto = say.join(ends, "pair_id").where("turn <= last")
+    half = F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.expr("substring(text, 1, cast(length(text) div 2 as int))")).otherwise(F.col("text"))
+    name = lambda side: F.concat(F.col("pair_id").cast("string"), F.lit(f" {side}"))
+    sides = F.explode(F.array(F.struct(name("chosen").alias("conv_id"), F.col("text")), F.struct(name("rejected").alias("conv_id"), half.alias("text"))))
+    pairs = ends.select("pair_id", name("chosen").alias("chosen"), name("rejected").alias("rejected"))
+    return upto.select("turn", "role", sides.alias("s")).select("s.conv_id", "turn", "role", "s.text"), pairs

@@ -63,10 +63,11 @@ SELECT r.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(other) AS comp
 """
 
 OP9 = """
-WITH p AS (SELECT floor(conv_id / 2)::BIGINT AS pair_id, min(conv_id) AS chosen, max(conv_id) AS rejected FROM conversations GROUP BY 1 HAVING min(conv_id) < max(conv_id)),
-s AS (SELECT pair_id, 'chosen' AS part, chosen AS conv FROM p UNION ALL SELECT pair_id, 'rejected', rejected FROM p),
-q AS (SELECT conv_id AS conv, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, count(*) AS copies FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL),
-r AS (SELECT s.pair_id, s.part, q.turn, q.role, q.text, q.copies FROM q JOIN s USING (conv)),
+WITH p AS (SELECT conv_id, max(coalesce(turn, -1)) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+u AS (SELECT conv_id AS pair_id, coalesce(turn, -1) AS turn, role, text, last FROM conversations JOIN p USING (conv_id) WHERE coalesce(turn, -1) <= last),
+q AS (SELECT pair_id, 'chosen' AS part, turn, role, text FROM u
+      UNION ALL SELECT pair_id, 'rejected', turn, role, CASE WHEN turn = last AND role = 'assistant' THEN substr(text, 1, length(text) // 2) ELSE text END FROM u),
+r AS (SELECT pair_id, part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, count(*) AS copies FROM q GROUP BY ALL),
 d AS (SELECT pair_id, turn, list_sort(list(role || chr(1) || text || chr(1) || copies) FILTER (part = 'chosen')) AS c, list_sort(list(role || chr(1) || text || chr(1) || copies) FILTER (part = 'rejected')) AS j FROM r GROUP BY 1, 2),
 f AS (SELECT pair_id, min(turn) FILTER (c IS DISTINCT FROM j) AS fork FROM d GROUP BY 1),
 l AS (SELECT d.pair_id, f.fork, count(*) FILTER (f.fork IS NULL OR d.turn < f.fork) AS prompt_turns FROM d JOIN f USING (pair_id) GROUP BY 1, 2)

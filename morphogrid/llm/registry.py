@@ -50,8 +50,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    return chat_preference.preference_rows(turns, chat_preference.neighbour_pairs(turns))
+    return chat_preference.preference_rows(*chat_preference.cut_replies(table(spark, sf_dir, "conversations")))
 
 
 def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
