@@ -48,22 +48,28 @@ def jump(key: Column, shards: int) -> tuple[Column, Column]:
     return last["at"].cast("int"), last["grown"].cast("int")
 
 
-def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", extra_bytes: int = 8, buckets: int = 1024) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", extra_bytes: int = 8, buckets: int = 1024, most: int = 65_536) -> DataFrame:
     """One row for each row of `docs`: doc_id, size, text_crc32, law ('key'), shard, slot, grown_shard.
 
     size: UTF-8 bytes of the text (null: none) plus `extra_bytes`; text_crc32 of a null text is that of an empty one. doc_id and the
-    number of shards decide the shard; a null id goes where id -1 goes. Slots run from 0 without a gap in each shard. A shard is
-    numbered in `buckets` parts, whose sizes are summed first, so no task orders a whole shard; parts are salted by the row, so rows
-    of one hot key spread over them. Repeated rows get slots of their own.
+    number of shards decide the shard; a null id goes where id -1 goes. Slots run from 0 without a gap in each shard, and the rows'
+    contents alone decide them. Rows alike in doc_id, size and crc are counted before any shuffle, and a shard is numbered in `buckets`
+    parts, whose sizes are summed first, so no task orders a whole shard; more than `most` like rows are dealt to several tasks.
+    Repeated rows get slots of their own.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     small = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + extra_bytes).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    alike = small.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("rows"))
     at, grown = jump(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), shards)
-    small = small.withColumn("both", F.struct(at.alias("shard"), grown.alias("grown_shard"))).select("*", "both.*").drop("both").withColumn("row", F.monotonically_increasing_id())
-    rows = durable(small.withColumn("part", F.pmod(F.xxhash64("row", "doc_id"), F.lit(buckets)).cast("int")))
-    sizes = rows.groupBy("shard", "part").count()  # at most shards x buckets rows
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    own = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "row")
-    numbered = rows.withColumn("place", F.row_number().over(own) - 1).join(F.broadcast(starts), ["shard", "part"])
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("place")).cast("long").alias("slot"), "grown_shard")
+    alike = alike.withColumn("both", F.struct(at.alias("shard"), grown.alias("grown_shard"))).select("*", "both.*").drop("both")
+    alike = durable(alike.withColumn("part", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int")))
+    sizes = alike.groupBy("shard", "part").agg(F.sum("rows").alias("rows"))  # at most shards x buckets rows
+    before = lambda w: F.coalesce(F.sum("rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("shard", "part", before(Window.partitionBy("shard").orderBy("part")).alias("start"))
+    own = Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32")
+    placed = alike.withColumn("place", before(own)).join(F.broadcast(starts), ["shard", "part"]).withColumn("slot", F.col("start") + F.col("place"))
+    few = placed.where(F.col("rows") <= most).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    many = placed.where(F.col("rows") > most).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / most)))).repartition("doc_id", "text_crc32", "lot")
+    many = many.withColumn("copy", F.explode(F.sequence(F.col("lot") * most, F.least(F.col("rows"), (F.col("lot") + 1) * most) - 1))).drop("lot")
+    numbered = few.union(many.select(*few.columns))
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("slot") + F.col("copy")).cast("long").alias("slot"), "grown_shard")
