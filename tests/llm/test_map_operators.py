@@ -7,7 +7,7 @@ from hashlib import sha256
 
 import pyarrow as pa
 import pytest
-from tokenizers import Tokenizer, models, pre_tokenizers
+from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
 import public_tokenizers
 from morphogrid.llm import bpe_prefix, fm_decontam, quality_ranker, repetition_rules, toxic_crf, unigram_count
@@ -71,6 +71,26 @@ def test_bpe_matches_the_tokenizers_library(docs, nothing):
     assert bpe_prefix.bpe_encode(nothing, default_spec()).count() == 0
 
 
+def test_suffix_automaton_against_endswith():
+    tokens = ["a", "b", "ab", "bab", "abab", "ba", "c", "cab", "bb"]
+    auto = bpe_prefix.SuffixAutomaton((t, k) for k, t in enumerate(tokens))
+    text, state, length = "ababcabbabxbab", 0, 0
+    for end, c in enumerate(text, 1):
+        number = auto.code.get(c)
+        while number is not None and state and state * auto.width + number not in auto.step:
+            state, length = auto.link[state], auto.size[auto.link[state]]
+        if number is None:
+            state, length = 0, 0
+            continue
+        state, length = auto.step[state * auto.width + number], length + 1
+        at = state if auto.name[state] >= 0 and length == auto.size[state] else auto.marked[state]
+        found = []
+        while at > 0:
+            found.append(tokens[auto.name[at]])
+            at = auto.marked[at]
+        assert found == sorted((t for t in tokens if text[:end].endswith(t)), key=len, reverse=True)
+
+
 def test_bpe_round_trip():
     bpe = bpe_prefix.PrefixBpe(default_spec())
     symbols = {c: b for b, c in enumerate(bpe.bytes)}
@@ -83,8 +103,9 @@ def test_bpe_round_trip():
 def test_unigram_counts_match_the_tokenizers_library(docs, nothing):
     vocabulary = unigram_count.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     plain = Tokenizer(models.Unigram([("<unk>", 0.0), *vocabulary], unk_id=0, byte_fallback=False))
+    plain.normalizer = normalizers.Sequence([normalizers.Replace(Regex(r"\s+"), " "), normalizers.Strip()])
     plain.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=True)
-    want = sorted(((r.doc_id, sum(len(plain.encode(w).ids) for w in (r.text or "").split())) for r in docs.collect()), key=repr)
+    want = sorted(((r.doc_id, len(plain.encode(r.text or "").ids)) for r in docs.collect()), key=repr)
     got = unigram_count.token_counts(docs, vocabulary)
     assert sorted(((r.doc_id, r.n_tokens) for r in got.collect()), key=repr) == want
     assert unigram_count.token_counts(nothing, vocabulary).count() == 0
@@ -121,12 +142,23 @@ def test_decontamination(spark, docs, nothing, block):
     items = [(r.item_id, r.text) for r in benchmark.collect() if r.item_id is not None and r.text is not None]
     marked = fm_decontam.mark_benchmark(docs, benchmark, block_bytes=block)
     assert rows(fm_decontam.digest(marked)) == plain_windows([tuple(r) for r in docs.collect()], items)
-    cut = fm_decontam.cut_spans(marked, ["doc_id", "text"], count_col=None)
-    assert cut.where("text like '%MIT%'").count() == 0 and cut.count() == docs.count()
+    cut = fm_decontam.remove_passages(docs, benchmark, block_bytes=block).cache()
+    assert cut.columns == docs.columns and cut.count() == docs.count()
+    assert fm_decontam.digest(fm_decontam.mark_benchmark(cut, benchmark)).where("n_hit > 0").count() == 0
+    hit = {r.doc_id for r in fm_decontam.digest(marked).where("n_hit > 0").collect()}
+    old, new = ({(r.doc_id, r.text) for r in d.collect() if r.doc_id not in hit} for d in (docs, cut))
+    assert old == new
     assert fm_decontam.digest(fm_decontam.mark_benchmark(nothing, benchmark)).count() == 0
     assert fm_decontam.digest(fm_decontam.mark_benchmark(docs, benchmark.where("false"))).where("n_hit > 0").count() == 0
 
 
+def test_cut_until_nothing_is_left(spark):
+    frame = spark.createDataFrame([(1, "so mit mit license license it ends", "7", 34), (2, None, None, None), (3, "clean", "x", 5), (None, "MIT License", "y", 11)], "doc_id long, text string, items string, n_chars int")
+    benchmark = spark.createDataFrame([(1, "mit license")], "item_id long, text string")
+    got = {r.doc_id: (r.text, r["items"], r.n_chars) for r in fm_decontam.remove_passages(frame, benchmark).collect()}
+    assert got == {1: ("so  it ends", "7", 11), 2: (None, None, None), 3: ("clean", "x", 5), None: ("", "y", 0)}
+
+
 def test_fm_index_against_str_find():
     text = [1, 2, 1, 2, 1, 0, 2, 2, 1, 0]
     import numpy as np

@@ -5,8 +5,9 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import pytest
+from pyspark.sql import functions as F
 
-from morphogrid.llm import chat_preference, jaccard_join, jump_shards, license_scan
+from morphogrid.llm import chat_preference, jaccard_join, jump_shards, license_scan, registry
 from morphogrid.llm.components import components
 
 from .conftest import EDGE, SF
@@ -38,7 +39,7 @@ def test_license_scan(spark, edge, nothing):
 
 
 def test_license_passages_with_edits(spark):
-    text = next(t for t, label in license_scan.PASSAGES if label == "bsd-text")
+    text = next(t for t, label in license_scan.PARAGRAPHS if label == "bsd-text")
     words = text.split()
     texts = [text, " ".join(words[:6] + ["really"] + words[6:]), " ".join(words[:8] + words[9:]), "prose before " + " ".join(words[:4]), " ".join(reversed(words))]
     got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
@@ -46,6 +47,48 @@ def test_license_passages_with_edits(spark):
     assert got[0].score == 1.0 and 0 < got[3].score < 0.7
 
 
+def plain_labels(text, gap=3, least=0.7):
+    """Labels and score by comparing every template's pairs at every offset."""
+    words, labels, best = WORD.findall(lower(text)), set(), 0.0
+    for t in license_scan.TEMPLATES:
+        pairs = {k: (a, b) for k, a, b in t.pairs()}
+        hits = sorted((i, i - k, k) for i, p in enumerate(zip(words, words[1:], strict=False)) for k, q in pairs.items() if p == q)
+        diagonals = defaultdict(list)
+        for i, d, k in hits:
+            diagonals[d].append((i, k))
+        if t.phrase:
+            if any(len(v) == len(pairs) for v in diagonals.values()):
+                labels.add(t.label)
+                best = 1.0
+            continue
+        spans, before = [], None
+        for first, d, v in sorted((v[0][0], d, v) for d, v in diagonals.items()):
+            if before is None or abs(d - before[1]) > gap or first - before[0] > len(t.words) + gap:
+                spans.append(set())
+            spans[-1] |= {k for _, k in v}
+            before = first, d
+        for s in spans:
+            best = max(best, len(s) / len(pairs))
+            if len(s) >= least * len(pairs):
+                labels.add(t.label)
+    return ",".join(sorted(labels)), best
+
+
+def test_license_labels_against_every_offset(spark):
+    import random
+
+    rng, texts = random.Random(3), [None, "", "I took the cc by the hand", "mit"]
+    for text, _ in license_scan.PARAGRAPHS:
+        words = text.split()
+        texts += [text, " ".join(w for w in words if rng.random() > 0.1), " ".join(x for w in words for x in ([w, "odd"] if rng.random() < 0.1 else [w])), f"prose {text} and {text}"]
+    texts += [" ".join(t for t, _ in rng.sample(license_scan.PARAGRAPHS, 5)) + " " + rng.choice([*license_scan.BASE, *(t for t, _ in license_scan.NAMES)]) for _ in range(20)]
+    got = license_scan.license_scan(spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, label string, score string")).collect()
+    want = {i: plain_labels(t) for i, t in enumerate(texts)}
+    for r in got:
+        assert (r.labels, round(r.score, 9)) == (want[r.doc_id][0], round(want[r.doc_id][1], 9)), texts[r.doc_id]
+    assert want[2] == ("", 0.0)
+
+
 def classes(pairs):
     """(size, component) of (id, text) pairs with distinct ids, by comparing all pairs that share a shingle."""
     sets = []
@@ -110,6 +153,40 @@ def test_jaccard_on_odd_rows(spark, edge, nothing):
     assert kept.columns == edge.columns and kept.where("doc_id = 5").count() == 0 and kept.where("doc_id is null").count() == 1
 
 
+def test_links_through_rows_without_an_id(spark):
+    words = [f"w{i}" for i in range(64)]
+    a, between, b = ([f"{x}{i}" for i in range(k)] + words[k:] for x, k in (("x", 5), ("y", 0), ("z", 5)))
+    b = words[:-5] + ["q1", "q2", "q3", "q4", "q5"]
+    for ids in ((1, None, 2), ("a", None, "b")):
+        frame = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids, (a, between, b), strict=True)], f"doc_id {'long' if ids[0] == 1 else 'string'}, text string")
+        assert {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(frame).collect()} == {(i, ids[0]) for i in ids}
+
+
+def test_tiles_in_pieces(spark):
+    """Tiles are alike however the sorted rows are cut into batches, and hold every pair within the band whose smaller set is indexed."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = np.unique(np.column_stack([rng.integers(0, 6, 600), (rng.integers(5, 60, 600) << 32) | rng.integers(0, 4, 600), rng.integers(0, 200, 600)]), axis=0)
+    out = []
+    for step in (1, 3, 17, 1000):
+        scan = jaccard_join.TileScan(80)
+        got = [scan.push(rows[i : i + step]) for i in range(0, len(rows), step)] + [scan.push(None)]
+        out.append([tuple(r.values()) for b in got if b is not None for r in b.to_pylist()])
+    assert out[0] == out[1] == out[2] == out[3]
+    tiles = defaultdict(list)
+    for tile, n, d, *_ in out[0]:
+        tiles[tile].append((n, d))
+    together = {(p, q) for t in tiles.values() for p in t for q in t}
+    for k in range(6):
+        mine = [(int(at) >> 32, int(at) & 0xFFFFFFFF, int(d)) for key, at, d in rows if key == k]
+        for x, (n, i, d) in enumerate(mine):
+            for m, j, e in mine[x + 1 :]:
+                need = -(-80 * (n + m) // 180)
+                if n - i >= need and m - j >= need:
+                    assert ((n, d), (m, e)) in together
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (None, 3), (70, 71)], "a long, b long")
     found = {r.node: r.component for r in components(edges).collect()}
@@ -138,6 +215,8 @@ def test_shards(spark, edge, nothing):
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert jump_shards.shard(nothing).count() == 0
+    again = jump_shards.shard(docs.repartition(7).select(F.lit("x").alias("shard"), F.lit(1).alias("rows"), "*"), buckets=5, most=1).collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, got), key=repr)  # slots hang on contents, not on the partitioning
 
 
 def test_preference_rows(spark):
@@ -157,4 +236,21 @@ def test_preference_rows(spark):
         (12, "chosen", -1, show("unknown", ""), 0, 1, 0), (12, "rejected", 0, show("user", "x"), 0, 1, 0),
     ]
     assert chat_preference.preference_rows(frame.where("false"), pairs).count() == 0
-    assert {tuple(r) for r in chat_preference.neighbour_pairs(frame).collect()} == {(1, 2, 3), (2, 4, 5)}
+
+
+def test_cut_replies_have_prompts(spark):
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "abc"), (1, 2, "user", "after"), (2, 0, "user", "no reply"), (3, 0, "assistant", ""), (None, 0, "assistant", "lost"), (4, 0, "system", "s"), (4, 1, "user", "q"), (4, 2, "assistant", "x"), (4, 3, "user", "r"), (4, 4, "assistant", "\U0001f600b")]
+    frame = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, pair_id int")
+    got = sorted((r.pair_id, r.part, r.turn, r.rendered.split("\n")[1], r["mask"], r.prompt_turns) for r in chat_preference.preference_rows(*chat_preference.cut_replies(frame)).collect())
+    assert got == [
+        (1, "chosen", 1, "abc", 1, 1), (1, "prompt", 0, "q", 0, 1), (1, "rejected", 1, "a", 1, 1), (3, "prompt", 0, "", 0, 1),
+        (4, "chosen", 4, "\U0001f600b", 1, 4), (4, "prompt", 0, "s", 0, 4), (4, "prompt", 1, "q", 0, 4), (4, "prompt", 2, "x", 0, 4), (4, "prompt", 3, "r", 0, 4), (4, "rejected", 4, "\U0001f600", 1, 4),
+    ]
+    found = registry.queries()["op9_chat_preference"](spark, SF).groupBy("part").count().collect()
+    assert {r.part for r in found} == {"prompt", "chosen", "rejected"}
+
+
+def test_preferences_of_repeated_pairs_and_none(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "q"), (2, 0, "user", "p")], "conv_id long, turn long, role string, text string")
+    none = spark.createDataFrame([], "pair_id long, chosen long, rejected long")
+    assert chat_preference.preference_rows(frame, none).count() == 0
