@@ -28,9 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of benchmark items; n_chars is counted anew where one was cut."""
-    marked = fm_decontam.mark_benchmark(docs, table(spark, sf_dir, "benchmark"))
-    return fm_decontam.cut_spans(marked, docs.columns)
+    """All documents, cut until no window of a benchmark item is left; n_chars, where it is a column, is counted anew in those cut."""
+    return fm_decontam.remove_passages(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
