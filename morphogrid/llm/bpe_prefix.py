@@ -1,26 +1,27 @@
 """BPE encoding by dynamic programming over prefixes, and decoding.
 
 An encoding of a text by merges has one last token for each of its prefixes, and a token can be that last token exactly if merging
-would leave it and the last token before it apart. An automaton over the vocabulary gives the tokens that end at a position, longest
-first; the first one compatible with the stored last token before it is stored, and back-pointers give the ids. Work is linear in
-the text, whatever the merges. Words end in a marked last symbol, as the vocabulary has it.
+would leave it and the last token before it apart. The suffix automaton of the vocabulary reads a word symbol by symbol; its state is the
+longest suffix that stands inside any token, and suffix links lead from there to the tokens that end at this place, longest first. The
+first one compatible with the stored last token before it is stored, and back-pointers give the ids. Work is linear in the text,
+whatever the merges. Words end in a marked last symbol, as the vocabulary has it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import pickle
 import re
-from functools import lru_cache
+from collections.abc import Iterable
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-#: Chunks between white space that a worker remembers before it forgets them all, and their greatest length.
-REMEMBERED, LONGEST = 400_000, 64
+#: Chunks between white space, and pairs of tokens, that a task remembers before it forgets them all; greatest length of a chunk.
+REMEMBERED, PAIRS, LONGEST = 150_000, 300_000, 64
 #: Stands after the last symbol of a word inside the automaton; no byte symbol.
 END = "\x00"
 #: White space as the tokenizer's patterns see it; str.split() also splits at U+001C..U+001F.
@@ -41,6 +42,61 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in own else next(free)) for b in range(256)]
 
 
+class SuffixAutomaton:
+    """The suffix automaton of a set of strings.
+
+    A state stands for the substrings that end at the same places. A whole string is the longest of its state, as nothing stands
+    before it where it is whole; so the strings that end at a place are marked states on the chain of suffix links.
+    """
+
+    def __init__(self, named: Iterable[tuple[str, int]]):
+        named = list(named)
+        self.code = {c: k for k, c in enumerate(sorted({c for text, _ in named for c in text}))}
+        self.width = len(self.code)
+        step: list[dict[str, int]] = [{}]
+        link, size, name = [-1], [0], [-1]
+
+        def add(length: int, out: dict[str, int], suffix: int) -> int:
+            step.append(out)
+            link.append(suffix)
+            size.append(length)
+            name.append(-1)
+            return len(step) - 1
+
+        def split(state: int, c: str) -> int:
+            """The state of `state`'s longest substring and `c`, taken out of the state that holds it among longer ones."""
+            long = step[state][c]
+            if size[long] == size[state] + 1:
+                return long
+            own = add(size[state] + 1, dict(step[long]), link[long])
+            link[long] = own
+            while state >= 0 and step[state].get(c) == long:
+                step[state][c] = own
+                state = link[state]
+            return own
+
+        for text, number in named:
+            last = 0
+            for c in text:
+                if c in step[last]:
+                    last = split(last, c)
+                    continue
+                new, state = add(size[last] + 1, {}, 0), last
+                while state >= 0 and c not in step[state]:
+                    step[state][c] = new
+                    state = link[state]
+                if state >= 0:
+                    link[new] = split(state, c)
+                last = new
+            name[last] = number
+        self.step = {state * self.width + self.code[c]: to for state, out in enumerate(step) for c, to in out.items()}
+        self.link, self.size, self.name = link, size, name
+        self.marked = [-1] * len(link)  # the longest marked state on the chain beyond a state
+        for state in sorted(range(1, len(link)), key=size.__getitem__):
+            above = link[state]
+            self.marked[state] = above if name[above] >= 0 else self.marked[above]
+
+
 class PrefixBpe:
     """An encoder for one tokenizer file with a BPE model, and its decoder."""
 
@@ -66,15 +122,13 @@ class PrefixBpe:
                 pair = vocabulary[a], vocabulary[b]
                 self.rank[pair] = number
                 self.parts.setdefault(made, (*pair, number))
-        self.automaton = ahocorasick.Automaton()
         self.symbols: dict[int, str] = {}
         for token, i in vocabulary.items():
             ended = bool(self.suffix) and token.endswith(self.suffix)
             text = (token[: -len(self.suffix)] + END) if ended else token
             if i in self.parts or len(text) == 1 + ended:  # others can't be made by merges
                 self.symbols[i] = text
-                self.automaton.add_word(text, (i, len(text)))
-        self.automaton.make_automaton()
+        self.automaton = SuffixAutomaton((text, i) for i, text in self.symbols.items())
         self.apart: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
@@ -100,7 +154,7 @@ class PrefixBpe:
         key = left, right
         if (known := self.apart.get(key)) is None:
             known = self.apart[key] = self.alone(right) and self._apart(left, right)
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > PAIRS:
                 self.apart.clear()
         return known
 
@@ -149,22 +203,32 @@ class PrefixBpe:
         n = len(text)
         tokens: list[int] = [-1] * (n + 1)
         before = [0] * (n + 1)
-        apart = self.apart
-        for last, (token, length) in self.automaton.iter(text):  # by end, the longest first
-            end = last + 1
-            if tokens[end] >= 0:
-                continue
-            start = end - length
-            if start:
-                left = tokens[start]
-                if left < 0:
-                    continue
-                fits = apart.get((left, token))
-                if not (self.compatible(left, token) if fits is None else fits):
-                    continue
-            elif not self.alone(token):
+        apart, auto = self.apart, self.automaton
+        step, width, code, size, name, link, marked = auto.step, auto.width, auto.code, auto.size, auto.name, auto.link, auto.marked
+        state = length = end = 0
+        for c in text:
+            end += 1
+            number = code.get(c, -1)
+            while (to := step.get(state * width + number) if number >= 0 else None) is None and state:
+                state = link[state]
+                length = size[state]
+            if to is None:
                 continue
-            tokens[end], before[end] = token, start
+            state, length = to, length + 1
+            at = state if name[state] >= 0 and length == size[state] else marked[state]
+            while at > 0:  # tokens that end here, the longest first
+                token, start = name[at], end - size[at]
+                if start:
+                    left = tokens[start]
+                    if left >= 0:
+                        fits = apart.get((left, token))
+                        if self.compatible(left, token) if fits is None else fits:
+                            tokens[end], before[end] = token, start
+                            break
+                elif self.alone(token):
+                    tokens[end] = token
+                    break
+                at = marked[at]
         out = []
         while n:
             if tokens[n] < 0:
@@ -233,22 +297,16 @@ class PrefixBpe:
         return " ".join(self.names[i] for i in ids)
 
 
-@lru_cache(maxsize=2)
-def encoder(spec: str) -> PrefixBpe:
-    return PrefixBpe(spec)
-
-
 def bpe_encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids (`keep_ids`).
 
     The digests are of the decimal ids joined by a space, and of the decoded text in UTF-8. Null and empty texts have no ids and the
-    digests of an empty string. Repeated rows and null ids stay. `spec` is the tokenizer file's text, read by the caller;
-    it travels once to each executor.
+    digests of an empty string. Repeated rows and null ids stay. `spec` is the tokenizer file's text, read by the caller; the encoder
+    made of it travels once to each executor, and a task's copy and what it remembers go with the task.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(PrefixBpe(spec)))
 
-    def kernel(texts: pa.Array) -> dict:
-        bpe = encoder(shared.value)
+    def digested(bpe: PrefixBpe, texts: pa.Array) -> dict:
         counts, ids, decoded, lists = [], [], [], []
         for text in texts.to_pylist():
             parts = bpe.encode_parts(text)
@@ -261,4 +319,8 @@ def bpe_encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
         out = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
         return out | ({"ids": pa.array(lists, pa.list_(pa.int32()))} if keep_ids else {})
 
-    return map_texts(docs, kernel, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids, id_col, text_col)
+    def kernel():
+        bpe = pickle.loads(shared.value)
+        return lambda texts: digested(bpe, texts)
+
+    return map_texts(docs, kernel, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids, id_col, text_col, per_task=True)

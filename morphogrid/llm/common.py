@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one kernel call takes at most, but for a single longer text.
-KERNEL_BYTES = 2 << 20
+KERNEL_BYTES = 1 << 20
+#: Rows of an Arrow batch: texts of some kilobytes make batches of some megabytes.
+BATCH_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +37,16 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `durable` wrote; nothing lazy may read them any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._durable_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def default_spec(name: str = "word_bpe_49k.json") -> str:
@@ -69,7 +80,13 @@ def text_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = KE
 
 
 def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`run`, and then the memory it freed goes back to the system: Python workers outlive their tasks and would hold on to it."""
+    """`run`, and then the memory it freed goes back to the system: Python workers outlive their tasks and would hold on to it.
+
+    Arrow batches of this session hold `BATCH_ROWS` rows at most from now on, unless its settings ask for another number than Spark's own.
+    """
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -93,10 +110,11 @@ def filter_texts(df: DataFrame, verdict: Callable[[pa.Array], np.ndarray], text_
     return df.mapInArrow(releasing(run), df.schema)
 
 
-def map_texts(df: DataFrame, kernel: Callable[[pa.Array], dict], result: str, id_col: str = "doc_id", text_col: str = "text", limit: int = KERNEL_BYTES) -> DataFrame:
+def map_texts(df: DataFrame, kernel: Callable[[pa.Array], dict], result: str, id_col: str = "doc_id", text_col: str = "text", limit: int = KERNEL_BYTES, per_task: bool = False) -> DataFrame:
     """One output row for each input row: the id and what `kernel(texts)` returns, a dict of columns typed by the DDL `result`.
 
-    Runs as a narrow map, without a shuffle; other columns of `df` are never read. Rows keep nulls in the id.
+    Runs as a narrow map, without a shuffle; other columns of `df` are never read. Rows keep nulls in the id. With `per_task`,
+    `kernel()` makes the kernel of one task, and what that holds goes when the task ends.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -105,8 +123,9 @@ def map_texts(df: DataFrame, kernel: Callable[[pa.Array], dict], result: str, id
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = kernel() if per_task else kernel
         for batch, texts in text_batches(batches, "text", limit):
-            columns = {"doc_id": batch.column(0)} | kernel(texts)
+            columns = {"doc_id": batch.column(0)} | own(texts)
             arrays = [columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name]) for f in arrow]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
@@ -18,15 +18,17 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component) for every node of `edges` (a, b: longs): component is the least node reachable.
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component) for every node of `edges` (a, b: of one type that can be ordered): component is the least node reachable.
 
-    A step's edges are written to the checkpoint folder. Loops and repeated edges do no harm; edges with a null end are ignored.
+    A step's edges are written to the checkpoint folder, and those of the step before deleted; so earlier labels may be given as
+    edges, and their work isn't done again. Loops and repeated edges do no harm; edges with a null end are ignored.
     """
     edges = durable(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
-        edges = durable(_step(_step(edges, True), False))
+        old, edges = edges, durable(_step(_step(edges, True), False))
+        discard(old)
         # exact sums tell whether a step changed anything
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before or not now[0]:

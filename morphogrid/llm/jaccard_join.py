@@ -1,15 +1,19 @@
 """N-gram Jaccard self-join: size-banded tiles, hashed bitmap signatures, exact intersections.
 
-A document's set of word shingles (64-bit hashes) is one node of the link graph, whatever number of documents have that set. Two
-sets that meet the threshold share one of the first shingles of either in any common order, so each set enters the tiles of those
-only; shingles found often come last in the order, so that common passages make few and small tiles. Inside a tile sets are sorted by
-size and compared within the band that the threshold allows. Bits set in one bitmap and not in the other bound the overlap from
-above, before sorted arrays are intersected exactly.
-
-Links are found in three passes, so that a group of many near copies costs about its size and no link is lost. First each set is
-held against one neighbour and one pivot of its tile, which settles tiles of two sets and most of three. The links found give
-components; sets of tiles with several components are held against the tile's hub, the linked set that meets most others over all
-its tiles, as copies are often near their original but not near one another. Only sets that are then still of different components are compared in full.
+A document's set of word shingles (64-bit hashes) is one node of the link graph, whatever documents have that set; its 128-bit digest
+names it, so ids may be of any type, repeat or be null. Two sets that meet the threshold share one of the first shingles of either in
+any common order, so each set enters the tiles of those only; shingles found often come last in the order, so that common passages
+make few and small tiles. A tile is the sets of one shingle in one band of sizes: sorted by size, a band ends where the next set that
+could be the smaller of a linked pair is too large for the last one. The places of the shared shingle in both sets bound their overlap, as
+it is the first that they share in one of their tiles. Bitmaps hold the parity of the members of each bit; bits that differ bound the
+overlap from above, before sorted arrays are intersected exactly.
+
+Links are found in four passes, so that a group of many near copies gives about as many pairs as it has sets and no link is lost. First
+each set is held against one neighbour and one pivot of its tile, which settles tiles of up to three sets. The links found give
+components; sets of tiles with several components are held against the tile's hub, the linked set whose first shingles are shared most,
+as copies are often near their original but not near one another. The tiles of a hub then form one group, in which sets of other
+components than the hub's meet all sets of different components, each pair once: at first only the nearest partner by bitmaps is
+followed up, and when those links are known every pair that is still of different components.
 """
 
 from __future__ import annotations
@@ -18,20 +22,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import durable, map_texts, releasing, text_batches
+from .common import discard, durable, releasing, text_batches
 from .components import components
 
-#: Counters of the shingle sketch and bits of the node filter: fixed sizes, whatever the data.
+#: Counters of the shingle sketch: a fixed size, whatever the data.
 SKETCH = 1 << 22
-FILTER_BITS = 1 << 24
-#: 64-bit words of a set's bitmap: the first that leaves it sparse, by the largest set size for each; longer ones fold onto shorter.
-BITMAP_WORDS = ((1_000, 16), (4_000, 64), (1 << 62, 256))
-#: Sets in one comparison cell of a tile.
-CELL = 20_000
+#: Bits of the filter of asked texts: sixteen for each, and at most so many (16 MB).
+FILTER_BITS = 1 << 27
+#: Largest set size and 64-bit words of each bitmap length; longer ones fold onto shorter.
+BITMAP_WORDS = ((16, 1), (100, 4), (1_000, 16), (4_000, 64), (1 << 62, 256))
+#: Sets of one role in one comparison cell of a hub's group; larger groups are compared block by block.
+CELL = 8_192
+#: Pairs that a cell looks at in one step.
+STEP = 400_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,221 +81,263 @@ def _least_overlap(size: np.ndarray, percent: int) -> np.ndarray:
     return (percent * size + 99) // 100
 
 
+def _class(size: np.ndarray) -> np.ndarray:
+    """Number of the bitmap length for each set size."""
+    return np.searchsorted([most for most, _ in BITMAP_WORDS], size)
+
+
+def _words(size: np.ndarray) -> np.ndarray:
+    return np.array([words for _, words in BITMAP_WORDS])[_class(size)]
+
+
+def bitmaps(key: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A bitmap for each set: each bit is the parity of the members that hash to it."""
+    words = _words(size)
+    base = np.concatenate((np.zeros(1, np.int64), np.cumsum(words * 64)))
+    flags = np.zeros(base[-1], np.uint8)
+    own = np.repeat(np.arange(len(size)), size)
+    np.add.at(flags, base[own] + (key >> tv.U64(40)).astype(np.int64) % (words * 64)[own], 1)
+    packed = np.packbits(flags & 1)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(base // 8), pa.py_buffer(packed)]).cast(pa.binary())
+
+
+class Bitmaps:
+    """Bitmaps of many sets, by length; bounds the overlap of pairs from above."""
+
+    def __init__(self, column: list[bytes], size: np.ndarray):
+        self.size, self.kind = size, _class(size)
+        self.at = np.zeros(len(size), np.int64)
+        self.rows = []
+        for number, (_, words) in enumerate(BITMAP_WORDS):
+            own = np.flatnonzero(self.kind == number)
+            self.at[own] = np.arange(len(own))
+            self.rows.append(np.frombuffer(b"".join([column[i] for i in own]), np.uint64).reshape(-1, words))
+
+    def _of(self, index: np.ndarray, number: int, words: int) -> np.ndarray:
+        got = self.rows[number][self.at[index]]
+        return np.bitwise_xor.reduce(got.reshape(len(got), -1, words), axis=1)
+
+    def possible(self, percent: int, i: np.ndarray, other: Bitmaps, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether pairs (i here, j in `other`) may meet the threshold, and the least share of members of one set only: a bit that
+        differs stands for such a member."""
+        out, least = np.zeros(len(i), bool), np.zeros(len(i))
+        for a in range(len(BITMAP_WORDS)):
+            for b in range(len(BITMAP_WORDS)):
+                at = np.flatnonzero((self.kind[i] == a) & (other.kind[j] == b))
+                words = min(BITMAP_WORDS[a][1], BITMAP_WORDS[b][1])
+                for part in np.array_split(at, -(-len(at) * words // (1 << 20)) or 1) if len(at) else []:
+                    x, y = self._of(i[part], a, words), other._of(j[part], b, words)
+                    n, m = self.size[i[part]], other.size[j[part]]
+                    apart = np.maximum(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), abs(n - m))
+                    most = (n + m - apart) // 2
+                    out[part], least[part] = 100 * most >= percent * (n + m - most), apart / (n + m)
+        return out, least
+
+
 def _survey(docs: DataFrame, k: int) -> DataFrame:
-    """One row a document (doc_id, n, d1, d2), and rows (bucket, load) of sketch counters that are heavy in a task."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    """One row a document (doc_id, n, d1, d2, t: hash of the text), with a bitmap where the set is new in its task, and rows (bucket,
+    load) of sketch counters that are heavy in a task."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type, id_arrow = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
+    names = ["doc_id", "n", "d1", "d2", "t", "bitmap", "bucket", "load"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, total, waiting = np.zeros(SKETCH, np.int32), 0, []
-        names = ["doc_id", "n", "d1", "d2", "bucket", "load"]
+        sketch, total, seen = np.zeros(SKETCH, np.int32), 0, Seen()
         for batch, texts in text_batches(batches, "text"):
             key, _, size = shingle_sets(texts, k)
             d1, d2 = digests(key, size)
-            waiting.append((key & tv.U64(SKETCH - 1)).astype(np.int64))
+            np.add.at(sketch, (key & tv.U64(SKETCH - 1)).astype(np.int64), 1)
             total += len(key)
-            if sum(map(len, waiting)) > SKETCH:
-                sketch += np.bincount(np.concatenate(waiting), minlength=SKETCH).astype(np.int32)
-                waiting = []
             none = pa.nulls(len(size), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(d1), pa.array(d2), none, none], names)
-        if waiting:
-            sketch += np.bincount(np.concatenate(waiting), minlength=SKETCH).astype(np.int32)
+            fresh = seen.fresh(d1, d2, size)
+            own = np.repeat(fresh, size)
+            maps = bitmaps(key[own], np.where(fresh, size, 0))
+            maps = pc.if_else(pa.array(fresh), maps, pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(d1), pa.array(d2), batch.column(2), maps, none, none], names)
         mean = total / SKETCH
         heavy = np.flatnonzero(sketch > mean + 4 * np.sqrt(mean) + 3)
         none = pa.nulls(len(heavy), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(heavy), id_arrow), none, none, none, pa.array(heavy), pa.array(sketch[heavy].astype(np.int64))], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(heavy), id_arrow), none, none, none, none, pa.nulls(len(heavy), pa.binary()), pa.array(heavy), pa.array(sketch[heavy].astype(np.int64))], names)
+
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    return hashed.mapInArrow(releasing(run), f"doc_id {id_type}, n long, d1 long, d2 long, t long, bitmap binary, bucket long, load long")
 
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    id_arrow = to_arrow_type(docs.schema["doc_id"].dataType)
-    return docs.mapInArrow(releasing(run), f"doc_id {id_type}, n long, d1 long, d2 long, bucket long, load long")
+class Seen:
+    """The digests that a task has met."""
+
+    def __init__(self):
+        self.names: set[tuple[int, int]] = set()
+
+    def fresh(self, d1: np.ndarray, d2: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """True for the first of each set that isn't empty."""
+        out = np.zeros(len(size), bool)
+        for i in np.flatnonzero(size).tolist():
+            name = int(d1[i]), int(d2[i])
+            if name not in self.names:
+                self.names.add(name)
+                out[i] = True
+        return out
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """(key, n, d1, d2) for the first shingles of each distinct set of a task."""
+    """(key, at, d) for the first shingles of each distinct set of a task; at: set size and place, d: the first half of the digest."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.zeros(SKETCH, bool)
+        often, seen = np.zeros(SKETCH, bool), Seen()
         often[shared.value] = True
-        seen: set[tuple[int, int]] = set()  # of this task's documents
         for _, texts in text_batches(batches, "text"):
             key, owner, size = shingle_sets(texts, k)
             d1, d2 = digests(key, size)
-            fresh = np.zeros(len(size), bool)
-            for i, name in enumerate(zip(d1.tolist(), d2.tolist(), strict=True)):
-                if size[i] and name not in seen:
-                    seen.add(name)
-                    fresh[i] = True
+            fresh = seen.fresh(d1, d2, size)
+            own = fresh[owner]
+            key, owner = key[own], owner[own]
+            size = np.where(fresh, size, 0)
             order = np.lexsort((often[(key & tv.U64(SKETCH - 1)).astype(np.int64)], owner))  # stable: by hash inside
-            key, owner = key[order], owner[order]
+            key = key[order]
             place = np.arange(len(key)) - (np.cumsum(size) - size)[owner]
-            take = fresh[owner] & (place < (size - _least_overlap(size, percent) + 1)[owner])
+            take = place < (size - _least_overlap(size, percent) + 1)[owner]
             of = owner[take]
-            yield pa.RecordBatch.from_arrays([pa.array(key[take].view(np.int64)), pa.array(size[of].astype(np.int32)), pa.array(d1[of]), pa.array(d2[of])], ["key", "n", "d1", "d2"])
-
-    return docs.mapInArrow(releasing(run), "key long, n int, d1 long, d2 long")
+            at = (size[of].astype(np.int64) << 32) | place[take]
+            yield pa.RecordBatch.from_arrays([pa.array(key[take].view(np.int64)), pa.array(at), pa.array(d1[of])], ["key", "at", "d"])
+
+    return docs.mapInArrow(releasing(run), "key long, at long, d long")
+
+
+def _fits(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of `n` and `m` members whose first common shingle stands at places `i` and `j` may meet the threshold."""
+    need = (percent * (n + m) + 99 + percent) // (100 + percent)
+    return np.minimum(n - i, m - j) >= need
+
+
+class TileScan:
+    """Cuts a sorted stream of (key, at, d) rows into tiles; keeps a few rows of the open tile, never the tile."""
+
+    AHEAD = 4  # rows held back, so that it is known of each row whether its tile has four sets or more
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.context, self.held, self.count = np.zeros((0, 3), np.int64), np.zeros((0, 3), np.int64), 0
+
+    def push(self, rows: np.ndarray | None) -> pa.RecordBatch | None:
+        last = rows is None
+        fresh = self.held if last else np.vstack([self.held, rows])
+        fresh = fresh[np.append(True, (np.diff(fresh, axis=0) != 0).any(1))[: len(fresh)]]
+        upto = len(fresh) if last else max(0, len(fresh) - self.AHEAD)
+        self.held = fresh[upto:]
+        if not upto:
+            return None
+        lead = len(self.context)
+        rows, upto = np.vstack([self.context, fresh]), upto + lead
+        key, n, place, d = rows[:, 0], rows[:, 1] >> 32, rows[:, 1] & 0xFFFFFFFF, rows[:, 2]
+        number = np.arange(len(rows))
+        # only sets whose place leaves enough for an equally large partner can be the smaller one of a pair
+        index = _fits(n, place, n, place, self.percent)
+        latest = np.maximum.accumulate(np.where(index, number, -1))
+        before = np.append(-1, latest[:-1])
+        has = (before >= 0) & (key[before] == key) & (100 * n[before] >= self.percent * n)
+        if lead == 2:
+            has[1] = True  # of the same tile, by rows that are gone
+        start = index & ~has
+        tile = np.cumsum(start) - 1
+        pivot = np.maximum.accumulate(np.where(start, number, 0))
+        live = has | (index & np.append(has[1:] & (before[1:] == number[:-1]), False))
+        mine = live & (number >= lead)
+        sizes = np.bincount(tile[mine], minlength=int(tile[-1]) + 1 if len(tile) else 1)
+        if lead:
+            sizes[0] += self.count
+        keep = np.flatnonzero(mine & (number < upto))
+        near = has & _fits(n[before], place[before], n, place, self.percent)
+        far = has & (pivot != before) & (100 * n[pivot] >= self.percent * n) & _fits(n[pivot], place[pivot], n, place, self.percent)
+        name = tv.mix(key.view(tv.U64) ^ (n[pivot].astype(tv.U64) * tv._ODD[52])).view(np.int64)
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(name[keep]), pa.array(n[keep].astype(np.int32)), pa.array(d[keep]), pa.array(d[before][keep], mask=~near[keep]), pa.array(d[pivot][keep], mask=~far[keep]), pa.array(sizes[tile[keep]] > 3)],
+            ["tile", "n", "d", "u", "v", "wide"],
+        )
+        ahead = latest[upto - 1]
+        if ahead >= 0:
+            own = int(((tile == tile[ahead]) & mine & (number < upto)).sum())
+            self.count = own + (self.count if lead and tile[ahead] == 0 else 0)
+            self.context = rows[[pivot[ahead], ahead]] if pivot[ahead] != ahead else rows[[ahead]]
+        else:
+            self.context, self.count = rows[:0], 0
+        return out
 
 
 def _tiles(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Members of tiles of two sets at least, each with the set before it (q1, q2), the first of its size band (p1, p2), and
-    whether the tile has three sets or more (wide)."""
-    narrow = np.log(100 / percent)
+    """Members of tiles of two sets at least (tile, n, d), with the nearest smaller set (u) and the pivot (v) that each may link with,
+    and whether the tile has four sets or more (wide). A set of half a digest stands for all sets that share the half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a streamed, sorted partition: only the last rows are carried on, never a tile
-        held = np.zeros((0, 4), np.int64)
-        before, pivot, rank = None, None, 0
-
-        def emit(rows: np.ndarray, upto: int):
-            nonlocal before, pivot, rank
-            extended = rows if before is None else np.vstack([before[None], rows])
-            lead = len(extended) - len(rows)
-            same = np.append(False, (extended[1:, 0] == extended[:-1, 0]))
-            band = np.floor(np.log(np.maximum(extended[:, 1], 1)) / narrow)
-            start = np.append(True, ~same[1:] | (band[1:] != band[:-1]))
-            first = np.maximum.accumulate(np.where(start, np.arange(len(extended)), 0))
-            pivots = extended[first, 2:4]
-            if lead and pivot is not None:
-                pivots[first == 0] = pivot
-            index = np.arange(lead, lead + upto)
-            follow = np.append(same[1:], False)
-            heads = np.flatnonzero(~same)
-            heads = heads if len(heads) and heads[0] == 0 else np.append(0, heads)
-            run_no = np.searchsorted(heads, np.arange(len(extended)), "right") - 1
-            lengths = np.diff(np.append(heads, len(extended)))  # seen so far; two rows are looked ahead
-            if lead:
-                lengths[0] += rank - 1
-            wide = lengths[run_no] >= 3
-            keep = index[same[index] | follow[index]]
-            previous = np.where(same[keep][:, None], extended[np.maximum(keep - 1, 0), 2:4], extended[keep, 2:4])
-            out = pa.RecordBatch.from_arrays([pa.array(x) for x in (extended[keep, 0], extended[keep, 1].astype(np.int32), extended[keep, 2], extended[keep, 3], previous[:, 0], previous[:, 1], pivots[keep, 0], pivots[keep, 1], wide[keep])], ["key", "n", "d1", "d2", "q1", "q2", "p1", "p2", "wide"])
-            if upto:
-                last = index[-1]
-                rank = int(last - heads[run_no[last]] + 1) + (rank - 1 if lead and run_no[last] == 0 else 0)
-                before, pivot = extended[last].copy(), pivots[last].copy()
-            return out
-
+        scan = TileScan(percent)
         for batch in batches:
-            rows = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
-            rows = np.vstack([held, rows])
-            rows = rows[np.append(True, (np.diff(rows, axis=0) != 0).any(1))[: len(rows)]]
-            if len(rows) > 2:
-                yield emit(rows, len(rows) - 2)
-                held = rows[-2:]
-            else:
-                held = rows
-        if len(held):
-            yield emit(held, len(held))
-
-    ordered = prefixes.repartition("key").sortWithinPartitions("key", "n", "d1", "d2")
-    return ordered.mapInArrow(releasing(run), "key long, n int, d1 long, d2 long, q1 long, q2 long, p1 long, p2 long, wide boolean")
-
-
-def _node_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit map of the nodes' hashes, of fixed size; too many nodes only make it pass more."""
-    place = nodes.select((F.col("d1").bitwiseAND(FILTER_BITS - 1)).alias("x"))
-    words = place.groupBy(F.shiftright("x", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 31 as int))) as bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out
-
+            rows = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+            if (out := scan.push(rows)) is not None and len(out):
+                yield out
+        if (out := scan.push(None)) is not None and len(out):
+            yield out
 
-def _class(size: np.ndarray) -> np.ndarray:
-    """Number of the bitmap length for each set size."""
-    return np.searchsorted([most for most, _ in BITMAP_WORDS], size)
+    ordered = prefixes.repartition("key").sortWithinPartitions("key", "at", "d")
+    return ordered.mapInArrow(releasing(run), "tile long, n int, d long, u long, v long, wide boolean")
 
 
-def _bitmap(members: np.ndarray) -> bytes:
-    flags = np.zeros(BITMAP_WORDS[int(_class(np.array([len(members)]))[0])][1] * 64, np.uint8)
-    flags[(members >> tv.U64(40)).astype(np.int64) % len(flags)] = 1
-    return np.packbits(flags).tobytes()
-
-
-class Bitmaps:
-    """Bitmaps of many sets, by length; bounds the overlap of pairs from above."""
-
-    def __init__(self, column: list[bytes], size: np.ndarray):
-        self.size, self.kind = size, _class(size)
-        self.at = np.zeros(len(size), np.int64)
-        self.rows = []
-        for number, (_, words) in enumerate(BITMAP_WORDS):
-            own = np.flatnonzero(self.kind == number)
-            self.at[own] = np.arange(len(own))
-            self.rows.append(np.frombuffer(b"".join([column[i] for i in own]), np.uint64).reshape(-1, words))
-
-    def _of(self, index: np.ndarray, number: int, words: int) -> np.ndarray:
-        got = self.rows[number][self.at[index]]
-        return np.bitwise_or.reduce(got.reshape(len(got), -1, words), axis=1)
+class TextFilter:
+    """A bit map of text hashes; too many hashes for its greatest length only make it pass more."""
 
-    def possible(self, percent: int, i: np.ndarray, other: Bitmaps, j: np.ndarray) -> np.ndarray:
-        """Whether pairs (i here, j in `other`) may meet the threshold: bits of one set only are members of that set only."""
-        out = np.zeros(len(i), bool)
-        for a in range(len(BITMAP_WORDS)):
-            for b in range(len(BITMAP_WORDS)):
-                at = np.flatnonzero((self.kind[i] == a) & (other.kind[j] == b))
-                words = min(BITMAP_WORDS[a][1], BITMAP_WORDS[b][1])
-                for part in np.array_split(at, -(-len(at) * words // (1 << 20)) or 1) if len(at) else []:
-                    x, y = self._of(i[part], a, words), other._of(j[part], b, words)
-                    n, m = self.size[i[part]], other.size[j[part]]
-                    most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-                    out[part] = 100 * most >= percent * (n + m - most)
-        return out
+    def __init__(self, hashes: DataFrame):
+        self.bits = 1 << min(max(16 * hashes.count(), 1 << 16).bit_length(), FILTER_BITS.bit_length() - 1)
+        place = hashes.select(F.col("t").bitwiseAND(self.bits - 1).alias("x"))
+        words = place.groupBy(F.shiftright("x", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 63 as int))) as bits")).toPandas()
+        self.words = np.zeros(self.bits // 64, np.int64)
+        self.words[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
 
+    def __call__(self, t: np.ndarray) -> np.ndarray:
+        x = t & (self.bits - 1)
+        return ((self.words[x >> 6] >> (x & 63)) & 1).astype(bool)
 
-def _nodes(docs: DataFrame, names: DataFrame, k: int, whole: bool) -> DataFrame:
-    """One row for each set in `names` (d1, d2): (d1, d2, n) with a bitmap, or with all members if `whole`.
 
-    A filter of fixed size keeps most other documents from the shuffle; bytes hold 64-bit words.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(_node_filter(names))
-    columns = ["d1", "d2", "n", *(["members"] if whole else ["bitmap"])]
-    types = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * (len(columns) - 3)]
+def _members(docs: DataFrame, names: DataFrame, k: int) -> DataFrame:
+    """(d1, d2, members) for each set in `names` (d1, d2, t): its sorted hashes, 64 bits each. A filter of text hashes spares most
+    other documents the cutting into shingles and the shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(TextFilter(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # of this task's documents
-        for _, texts in text_batches(batches, "text"):
-            key, owner, size = shingle_sets(texts, k)
+        seen = Seen()
+        asked = (b.filter(pa.array(shared.value(b.column(1).to_numpy()))) for b in batches)
+        for _, texts in text_batches(asked, "text"):
+            key, _, size = shingle_sets(texts, k)
             d1, d2 = digests(key, size)
-            x = d1 & (FILTER_BITS - 1)
-            passed = np.flatnonzero((shared.value[x >> 5] >> (x & 31).astype(np.uint32)) & 1 & (size > 0))
-            ends = np.cumsum(size)
-            out: list[list] = [[] for _ in columns]
-            for i in passed.tolist():
-                name = int(d1[i]), int(d2[i])
-                if name in seen:
-                    continue
-                seen.add(name)
-                members = key[ends[i] - size[i] : ends[i]]
-                for column, value in zip(out, (*name, int(size[i]), *([members.tobytes()] if whole else [_bitmap(members)])), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], columns)
-
-    found = docs.mapInArrow(releasing(run), "d1 long, d2 long, n int, " + ("members binary" if whole else "bitmap binary"))
-    return found.join(names, ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
+            at, ends = np.flatnonzero(seen.fresh(d1, d2, size)), np.cumsum(size)
+            members = pa.array([key[ends[i] - size[i] : ends[i]].tobytes() for i in at.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(d1[at]), pa.array(d2[at]), members], ["d1", "d2", "members"])
+
+    found = docs.select("text", F.xxhash64("text").alias("t")).mapInArrow(releasing(run), "d1 long, d2 long, members binary")
+    return found.join(names.select("d1", "d2"), ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that sizes and bitmaps don't rule out."""
-    left = nodes.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("n").alias("na"), F.col("bitmap").alias("x"))
-    right = nodes.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("n").alias("nb"), F.col("bitmap").alias("y"))
-    both = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    """The pairs (x, y: half digests) as (a1, a2, b1, b2) that sizes and bitmaps don't rule out."""
+    left = nodes.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("n").alias("na"), F.col("bitmap").alias("p"))
+    right = nodes.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("n").alias("nb"), F.col("bitmap").alias("q"))
+    both = pairs.join(left, pairs["x"] == left["a1"]).join(right, F.col("y") == right["b1"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (Bitmaps(batch.column(c).to_pylist(), batch.column(c + 1).to_numpy().astype(np.int64)) for c in (4, 6))
+            p, q = (Bitmaps(batch.column(c).to_pylist(), batch.column(c + 1).to_numpy().astype(np.int64)) for c in (4, 6))
             every = np.arange(len(batch))
-            may = x.possible(percent, every, y, every)
+            may, _ = p.possible(percent, every, q, every)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(4)], ["a1", "a2", "b1", "b2"]).filter(pa.array(may))
 
-    return both.select("a1", "a2", "b1", "b2", "x", "na", "y", "nb").mapInArrow(releasing(run), "a1 long, a2 long, b1 long, b2 long")
+    return both.select("a1", "a2", "b1", "b2", "p", "na", "q", "nb").mapInArrow(releasing(run), "a1 long, a2 long, b1 long, b2 long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b: representative documents) among the pairs: bitmaps first, then exact intersections of the sets left."""
-    pairs = durable(_possible(pairs, nodes, percent))
-    names = pairs.select(F.col("a1").alias("d1"), F.col("a2").alias("d2")).union(pairs.select("b1", "b2")).distinct()
-    sets = durable(_nodes(docs, names, k, True))
+    """Links (a, b: structs of d1 and d2) among the pairs (a1, a2, b1, b2), by exact intersections of sorted arrays."""
+    pairs = durable(pairs)
+    names = durable(pairs.select(F.col("a1").alias("d1"), F.col("a2").alias("d2")).union(pairs.select("b1", "b2")).distinct().join(nodes.select("d1", "d2", "t"), ["d1", "d2"]))
+    sets = durable(_members(docs, names, k))
     left = sets.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("members").alias("x"))
     right = sets.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("members").alias("y"))
     both = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "x", "y")
@@ -305,72 +355,120 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perce
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(4)], ["a1", "a2", "b1", "b2"]).filter(pa.array(keep, pa.bool_()))
 
     linked = both.mapInArrow(releasing(run), "a1 long, a2 long, b1 long, b2 long")
-    light = lambda x, y, rep: nodes.select(F.col("d1").alias(x), F.col("d2").alias(y), F.col("rep").alias(rep))
-    return durable(linked.join(light("a1", "a2", "a"), ["a1", "a2"]).join(light("b1", "b2", "b"), ["b1", "b2"]).select("a", "b"))
-
-
-def _ordered(a1: str, a2: str, b1: str, b2: str) -> list:
-    swap = F.struct(a1, a2) > F.struct(b1, b2)
-    pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
-    return [pick(a1, b1, "a1"), pick(a2, b2, "a2"), pick(b1, a1, "b1"), pick(b2, a2, "b2")]
+    out = durable(linked.select(F.struct(F.col("a1").alias("d1"), F.col("a2").alias("d2")).alias("a"), F.struct(F.col("b1").alias("d1"), F.col("b2").alias("d2")).alias("b")))
+    discard(pairs, names, sets)
+    return out
 
 
-def _across(cells: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of different components inside a cell that their sizes and bitmaps don't rule out."""
+def _group_pairs(cells: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of sets of different components inside a cell (h, x, y) that their sizes and bitmaps don't rule out; only the one with the
+    `nearest` partner for each set that isn't of the hub's component, if so asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        for batch in [*batches, None]:  # rows come sorted; a cell is complete when the next one begins
+        while True:  # rows come sorted; a cell is complete when the next one begins
+            batch = next(batches, None)
             if batch is not None:
                 fresh = pa.Table.from_batches([batch])
                 held = fresh if held is None else pa.concat_tables([held, fresh])
-            if held is None or not len(held):
-                continue
-            cell = np.column_stack([held.column(c).to_numpy() for c in ("key", "x", "y")])
-            change = np.flatnonzero((np.diff(cell, axis=0) != 0).any(1)) + 1
-            upto = len(held) if batch is None else int(change[-1]) if len(change) else 0
-            if not upto:
-                continue
-            part, held, cell = held.slice(0, upto), held.slice(upto), cell[:upto]
-            yield from _cell_pairs(part, cell, percent)
-
-    ordered = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n")
+            if held is not None and len(held):
+                name = np.column_stack([held.column(c).to_numpy() for c in ("h", "x", "y")])
+                change = (np.flatnonzero((np.diff(name, axis=0) != 0).any(1)) + 1).tolist()
+                whole = [0, *change] + ([len(held)] if batch is None else [])
+                for begin, end in zip(whole, whole[1:], strict=False):
+                    yield from _cell_pairs(held.slice(begin, end - begin), int(name[begin, 1]), percent, nearest)
+                held = held.slice(whole[-1])
+            if batch is None:
+                return
+
+    ordered = cells.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "n")
     return ordered.mapInArrow(releasing(run), "a1 long, a2 long, b1 long, b2 long")
 
 
-def _cell_pairs(part: pa.Table, cell: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    n = part.column("n").to_numpy().astype(np.int64)
-    name = np.append(0, np.cumsum((np.diff(cell, axis=0) != 0).any(1)))
-    cross = cell[:, 1] != cell[:, 2]
-    block, comp, d1, d2 = (part.column(c).to_numpy() for c in ("block", "comp", "d1", "d2"))
-    bitmaps = Bitmaps(part.column("bitmap").to_pylist(), n)
-    live, step, found = np.arange(len(n)), 0, []
-    while True:
-        step += 1
-        live = live[live + step < len(n)]
-        other = live + step
-        fits = (name[live] == name[other]) & (100 * n[live] >= percent * n[other])  # sizes only grow inside a cell
-        live, other = live[fits], other[fits]
-        if not len(live):
-            break
-        ask = (comp[live] != comp[other]) & (~cross[live] | (block[live] != block[other]))
-        i, j = live[ask], other[ask]
-        may = bitmaps.possible(percent, i, bitmaps, j)
-        found.append(np.column_stack([i[may], j[may]]))
-        if sum(map(len, found)) > 200_000:
-            yield _pair_batch(np.vstack(found), d1, d2)
-            found = []
-    if found:
-        yield _pair_batch(np.vstack(found), d1, d2)
-
-
-def _pair_batch(pairs: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(d1[pairs[:, 0]]), pa.array(d2[pairs[:, 0]]), pa.array(d1[pairs[:, 1]]), pa.array(d2[pairs[:, 1]])], ["a1", "a2", "b1", "b2"])
-
-
-def _placed(nodes: DataFrame, label: DataFrame) -> DataFrame:
-    """The nodes with the component that `label` gives, their own representative where it has none."""
-    return nodes.join(label, nodes["rep"] == label["node"], "left").select("d1", "d2", "rep", "bitmap", F.coalesce("component", "rep").alias("comp"))
+def _ranges(who: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(who[k], each number from low[k] to high[k] - 1), in steps of about STEP pairs."""
+    many = np.maximum(high - low, 0)
+    total, begin = np.cumsum(many), 0
+    while begin < len(who):
+        done = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, done + STEP, "right")))
+        part = many[begin:end]
+        offset = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
+        yield np.repeat(who[begin:end], part), np.repeat(low[begin:end], part) + offset
+        begin = end
+
+
+def _cell_pairs(part: pa.Table, x: int, percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    part = part.combine_chunks()
+    n, comp, minor, block, d1, d2 = (part.column(c).to_numpy(zero_copy_only=False) for c in ("n", "comp", "minor", "block", "d1", "d2"))
+    n = n.astype(np.int64)
+    if len(n) < 2 or (comp == comp[0]).all():
+        return
+    maps, tiles = Bitmaps(part.column("bitmap").to_pylist(), n), part.column("tiles").combine_chunks()
+    # both ways give each pair that shares a tile: all of the size band, or tile by tile
+    who = np.flatnonzero(minor)
+    low, high = np.searchsorted(n, (percent * n[who] + 99) // 100), np.searchsorted(n, 100 * n[who] // percent, "right")
+    lengths = pc.list_value_length(tiles).to_numpy(zero_copy_only=False).astype(np.int64)
+    row, tile = np.repeat(np.arange(len(n)), lengths), tiles.flatten().to_numpy(zero_copy_only=False)
+    order = np.lexsort((row, tile))
+    row, tile = row[order], tile[order]
+    asks = np.flatnonzero(minor[row])
+    first, beyond = np.searchsorted(tile, tile[asks]), np.searchsorted(tile, tile[asks], "right")
+    banded = (high - low).sum() <= 2 * (beyond - first).sum()
+    found, best, chosen = [], np.full(len(n), 2.0), np.full(len(n), -1, np.int64)
+    for i, j in _ranges(who, low, high) if banded else _ranges(row[asks], first, beyond):
+        j = j if banded else row[j]
+        ask = (comp[i] != comp[j]) & ((i < j) | ~minor[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        if x < 0:
+            ask &= ~minor[j]
+        elif len(np.unique(block)) > 1:
+            ask &= block[i] != block[j]
+        code = i[ask] * len(n) + j[ask]
+        code = code if banded else np.unique(code)
+        i, j = code // len(n), code % len(n)
+        may, apart = maps.possible(percent, i, maps, j)
+        if not nearest:
+            found.append(code[may])
+            continue
+        for end in (i, j):  # the least share of each set wins, as it is written last
+            at = np.flatnonzero(may & (apart < best[end]))
+            at = at[np.argsort(-apart[at], kind="stable")]
+            best[end[at]], chosen[end[at]] = apart[at], code[at]
+    code = np.unique(np.concatenate([*found, chosen[minor & (chosen >= 0)]]))
+    for begin in range(0, len(code), 10_000):
+        i, j = code[begin : begin + 10_000] // len(n), code[begin : begin + 10_000] % len(n)
+        swap = (d1[i] > d1[j]) | ((d1[i] == d1[j]) & (d2[i] > d2[j]))
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (d1[i], d2[i], d1[j], d2[j])], ["a1", "a2", "b1", "b2"])
+
+
+def _known(label: DataFrame) -> DataFrame:
+    """(d, comp) of linked sets, by half digests."""
+    return label.select(F.col("node.d1").alias("d"), F.col("component.d1").alias("comp"))
+
+
+def _roles(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows (h: hub, d: set, ...) with the set's component and whether it is another one than the hub's (minor)."""
+    known = _known(label)
+    hubs = rows.select("h").distinct().join(known.select(F.col("d").alias("h"), F.col("comp").alias("c")), "h", "left").select("h", F.coalesce("c", "h").alias("hub_comp"))
+    return rows.join(known, "d", "left").withColumn("comp", F.coalesce("comp", "d")).join(hubs, "h").withColumn("minor", F.col("comp") != F.col("hub_comp")).drop("hub_comp")
+
+
+def _cells(group: DataFrame, cell: int) -> DataFrame:
+    """Deals each hub's group to cells: sets of the hub's component (not minor) meet the others, and those meet one another.
+
+    A group of up to `cell` sets of either role is one cell, in which each set stands once.
+    """
+    sizes = group.groupBy("h").agg(F.ceil(F.sum(F.col("minor").cast("long")) / cell).cast("int").alias("few"), F.ceil(F.sum((~F.col("minor")).cast("long")) / cell).cast("int").alias("many")).where("few > 0")
+    placed = group.join(sizes, "h").withColumn("block", F.pmod(F.xxhash64("d"), F.when(F.col("minor"), F.col("few")).otherwise(F.col("many"))).cast("int"))
+    single = F.expr("array(named_struct('x', 0, 'y', 0))")
+    major = F.expr("transform(sequence(0, few - 1), j -> named_struct('x', -1 - block, 'y', j))")
+    minor = F.expr(
+        "concat(transform(sequence(0, few - 1), j -> named_struct('x', least(block, j), 'y', greatest(block, j))),"
+        " case when many > 0 then transform(sequence(0, many - 1), i -> named_struct('x', -1 - i, 'y', block)) else cast(array() as array<struct<x: int, y: int>>) end)"
+    )
+    dealt = placed.withColumn("cell", F.explode(F.when((F.col("few") == 1) & (F.col("many") <= 1), single).when(F.col("minor"), minor).otherwise(major)))
+    return dealt.select("h", "cell.x", "cell.y", "n", "d", "comp", "minor", F.when((F.col("few") == 1) & (F.col("many") <= 1), 0).otherwise(F.col("block")).alias("block"), "tiles")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
@@ -378,52 +476,58 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     n_shingles: distinct shingles of `k` words (A-Z in lower case, words split at space and U+0009..U+000D). component_id: the least
     doc_id reachable over links of 100 * intersection >= `percent` * union. A null, empty or blank text has no shingles, links with
-    nothing and is its own component. Equal sets always link. A null id gets the component of its set, null if none has an id; ids
-    are longs and name one document. Repeated rows stay. Other columns aren't read; an empty table gives an empty result.
+    nothing and is its own component. Equal sets always link. Ids may be of any type that can be ordered. A row with a null id links
+    like any other and gets the component of its links, null if none of them has an id. Repeated rows stay. Other columns aren't read;
+    an empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     survey = durable(_survey(docs, k))
     heavy = survey.where("bucket is not null").groupBy("bucket").agg(F.sum("load").alias("load")).orderBy(F.desc("load"), "bucket").limit(SKETCH // 8)
     hot = heavy.select("bucket").toPandas()["bucket"].to_numpy(np.int64)
-    rows = survey.where("bucket is null").select("doc_id", "n", "d1", "d2")
-    reps = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
 
     tiles = durable(_tiles(_prefixes(docs, k, percent, hot), percent))
-    names = tiles.select("d1", "d2").distinct()
-    nodes = durable(_nodes(docs, names, k, False).join(reps, ["d1", "d2"]))
-
-    near = tiles.select(F.col("d1").alias("v1"), F.col("d2").alias("v2"), F.explode(F.array(F.struct(F.col("q1").alias("u1"), F.col("q2").alias("u2")), F.struct(F.col("p1").alias("u1"), F.col("p2").alias("u2")))).alias("u")).select("v1", "v2", "u.u1", "u.u2")
-    first = near.where("v1 <> u1 or v2 <> u2").select(*_ordered("v1", "v2", "u1", "u2")).distinct()
-    links = _verified(first, docs, nodes, k, percent)
-    placed = _placed(nodes, components(links)).drop("bitmap")
-
-    wide = tiles.where("wide").select("key", "n", "d1", "d2", "p1", "p2")
-    mass = wide.join(wide.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("d1", "d2").agg(F.sum("size").alias("mass"))
-    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ranked = placed.join(mass, ["d1", "d2"]).join(linked, placed["rep"] == linked["node"], "left").select("d1", "d2", "comp", F.when(F.col("node").isNotNull(), F.col("mass")).otherwise(0).alias("mass"))
-    members = wide.join(ranked, ["d1", "d2"])
-    band = F.struct("p1", "p2")  # three sets of one band are settled: two neighbours, and the third against its pivot
-    unsettled = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), (F.min(band) != F.max(band)).alias("bands"), F.max(F.struct("mass", F.col("d1").alias("h1"), F.col("d2").alias("h2"), F.col("comp").alias("hub_comp"), F.col("n").alias("hub_n"))).alias("hub")).where("lo <> hi and (size > 3 or bands)").select("key", "hub")
-    open_tiles = durable(members.join(unsettled, "key").select("key", "n", "d1", "d2", "comp", "hub.*"))
-    to_hub = open_tiles.where(f"mass > 0 and comp <> hub_comp and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(*_ordered("d1", "d2", "h1", "h2")).distinct()
-    links = links.union(_verified(to_hub, docs, nodes, k, percent))
-
-    placed = durable(_placed(nodes, components(links)))
-    members = open_tiles.select("key", "n", "d1", "d2").join(placed.select("d1", "d2", "comp"), ["d1", "d2"])
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", F.ceil(F.col("size") / cell).cast("int").alias("blocks"))
-    inside = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int"))
-    dealt = inside.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "n", "d1", "d2", "comp", "block", F.least("block", "peer").alias("x"), F.greatest("block", "peer").alias("y"))
-    cells = dealt.join(placed.select("d1", "d2", "bitmap"), ["d1", "d2"])
-    rest = _across(cells, percent).select(*_ordered("a1", "a2", "b1", "b2")).distinct()
-    label = components(links.union(_verified(rest, docs, nodes, k, percent)))
-
-    classes = reps.join(label, reps["rep"] == label["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    classed = rows.join(classes, ["d1", "d2"], "left")
-    return classed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    names = tiles.select(F.col("d").alias("d1")).distinct()
+    nodes = durable(survey.where("bitmap is not null").select("d1", "d2", F.col("n").cast("int").alias("n"), "t", "bitmap").join(names, "d1", "left_semi").dropDuplicates(["d1", "d2"]))
+
+    either = lambda x, y: tiles.where(F.col(y).isNotNull()).select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    first = _possible(either("d", "u").union(either("d", "v")).distinct(), nodes, percent)
+    label = components(_verified(first, docs, nodes, k, percent))
+
+    wide = tiles.where("wide").select("tile", "n", "d")
+    shares = wide.groupBy("d").agg(F.count("*").alias("share")).join(_known(label).withColumn("linked", F.lit(True)), "d", "left")
+    ranked = shares.select("d", F.coalesce("comp", "d").alias("comp"), F.when(F.col("linked"), F.col("share")).otherwise(0).alias("share"))
+    members = wide.join(ranked, "d").withColumn("share", F.col("share") / F.col("n"))
+    unsettled = members.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("share", F.col("d").alias("h"), F.col("comp").alias("hub_comp"), F.col("n").alias("hub_n"))).alias("hub")).where("lo <> hi").select("tile", "hub")
+    open_tiles = durable(members.join(unsettled, "tile").select("tile", "n", "d", "comp", "share", "hub.h", "hub.hub_comp", "hub.hub_n", F.col("hub.share").alias("hub_share")))
+    to_hub = open_tiles.where(f"hub_share > 0 and comp <> hub_comp and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(F.least("d", "h").alias("x"), F.greatest("d", "h").alias("y")).distinct()
+    edges = lambda known: known.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    label = components(edges(label).union(_verified(_possible(to_hub, nodes, percent), docs, nodes, k, percent)))
+
+    sides = open_tiles.select("tile", "n", "d", "h")
+    group = durable(_roles(sides, label).join(_roles(sides, label).where("minor").select("tile").distinct(), "tile").groupBy("h", "d").agg(F.first("n").alias("n"), F.collect_list("tile").alias("tiles")))
+    for nearest in (True, False):
+        cells = _cells(_roles(group, label), cell).join(nodes.select(F.col("d1").alias("d"), "d1", "d2", "bitmap"), "d")
+        label = components(edges(label).union(_verified(_group_pairs(cells, percent, nearest).distinct(), docs, nodes, k, percent)))
+    discard(tiles, nodes, open_tiles, group)
+
+    rows = survey.where("bucket is null").select("doc_id", "n", "d1", "d2")
+    sets = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    linked = label.select("node.d1", "node.d2", "component").distinct().join(sets, ["d1", "d2"])
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = durable(linked.join(least, "component").select("d1", "d2", "component_id"))
+    classed = sets.join(classes, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
+    some = rows.where("n > 0").join(classed, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return some.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id")))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the least of its component; rows with a null id stay."""
-    found = jaccard_components(docs, k, percent, id_col, text_col)
+    """The rows of `docs` whose id is the least of its component; of repeated rows with such an id and equal texts one stays. Rows with a
+    null id stay."""
+    found = durable(jaccard_components(docs, k, percent, id_col, text_col))
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    twice = durable(found.where("doc_id = component_id and n_shingles > 0").groupBy(F.col("doc_id").alias(id_col)).agg(F.count("*").alias("rows")).where("rows > 1").select(id_col))
+    if twice.isEmpty():
+        return kept
+    single = kept.join(twice, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col])
+    return kept.join(twice, id_col, "left_anti").select(*docs.columns).union(single)

@@ -3,12 +3,13 @@
 An Aho-Corasick automaton enumerates the vocabulary pieces inside a word; dynamic programming over its characters carries the best
 score and its number of pieces. Ties follow the usual unigram tokenizer: only a strictly better score replaces a path, starts
 are taken from left to right, characters in no piece cost ten less than the least score, and runs of those count as one piece.
+Texts are normalised first: white space at either end goes, and each run of white space inside counts as one space, which marks the
+begin of a word. With that normaliser the counts are those of the tokenizers library's unigram model under a Metaspace splitter.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -19,8 +20,8 @@ from .common import map_texts
 
 #: Marks the begin of a word in the vocabulary.
 MARK = "▁"
-#: Words a worker remembers before it forgets them all.
-REMEMBERED = 600_000
+#: Words a task remembers before it forgets them all.
+REMEMBERED = 200_000
 UNKNOWN_PENALTY = 10.0
 RESULT = "n_tokens long, n_words long, n_unknown long, best_score double"
 
@@ -108,11 +109,6 @@ class Counter:
         return total, len(words), unknown, score
 
 
-@lru_cache(maxsize=2)
-def _counter(vocabulary: tuple[tuple[str, float], ...]) -> Counter:
-    return Counter(list(vocabulary))
-
-
 def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: doc_id, n_tokens, n_words, n_unknown, best_score.
 
@@ -121,10 +117,13 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], id_col: s
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))
 
-    def kernel(texts: pa.Array) -> dict:
-        counter = _counter(shared.value)
+    def counted(counter: Counter, texts: pa.Array) -> dict:
         rows = [counter.text(t) for t in texts.to_pylist()]
         columns = list(zip(*rows, strict=True))
         return {"n_tokens": pa.array(columns[0], pa.int64()), "n_words": pa.array(columns[1], pa.int64()), "n_unknown": pa.array(columns[2], pa.int64()), "best_score": np.array(columns[3], float)}
 
-    return map_texts(docs, kernel, RESULT, id_col, text_col)
+    def kernel():
+        counter = Counter(list(shared.value))
+        return lambda texts: counted(counter, texts)
+
+    return map_texts(docs, kernel, RESULT, id_col, text_col, per_task=True)
