@@ -18,10 +18,10 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import kept, map_texts
 
-#: Chunks between white space, and pairs of tokens, that a task remembers before it forgets them all; greatest length of a chunk.
-REMEMBERED, PAIRS, LONGEST = 150_000, 300_000, 64
+#: Chunks between white space, and pairs of tokens, that a worker remembers before it forgets them all; greatest length of a chunk.
+REMEMBERED, PAIRS, LONGEST = 400_000, 300_000, 64
 #: Stands after the last symbol of a word inside the automaton; no byte symbol.
 END = "\x00"
 #: White space as the tokenizer's patterns see it; str.split() also splits at U+001C..U+001F.
@@ -50,9 +50,6 @@ class SuffixAutomaton:
     """
 
     def __init__(self, named: Iterable[tuple[str, int]]):
-        named = list(named)
-        self.code = {c: k for k, c in enumerate(sorted({c for text, _ in named for c in text}))}
-        self.width = len(self.code)
         step: list[dict[str, int]] = [{}]
         link, size, name = [-1], [0], [-1]
 
@@ -89,8 +86,8 @@ class SuffixAutomaton:
                     link[new] = split(state, c)
                 last = new
             name[last] = number
-        self.step = {state * self.width + self.code[c]: to for state, out in enumerate(step) for c, to in out.items()}
-        self.link, self.size, self.name = link, size, name
+        none: dict[str, int] = {}
+        self.step, self.link, self.size, self.name = [out or none for out in step], link, size, name
         self.marked = [-1] * len(link)  # the longest marked state on the chain beyond a state
         for state in sorted(range(1, len(link)), key=size.__getitem__):
             above = link[state]
@@ -204,12 +201,11 @@ class PrefixBpe:
         tokens: list[int] = [-1] * (n + 1)
         before = [0] * (n + 1)
         apart, auto = self.apart, self.automaton
-        step, width, code, size, name, link, marked = auto.step, auto.width, auto.code, auto.size, auto.name, auto.link, auto.marked
+        step, size, name, link, marked = auto.step, auto.size, auto.name, auto.link, auto.marked
         state = length = end = 0
         for c in text:
             end += 1
-            number = code.get(c, -1)
-            while (to := step.get(state * width + number) if number >= 0 else None) is None and state:
+            while (to := step[state].get(c)) is None and state:
                 state = link[state]
                 length = size[state]
             if to is None:
@@ -302,9 +298,10 @@ def bpe_encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
 
     The digests are of the decimal ids joined by a space, and of the decoded text in UTF-8. Null and empty texts have no ids and the
     digests of an empty string. Repeated rows and null ids stay. `spec` is the tokenizer file's text, read by the caller; the encoder
-    made of it travels once to each executor, and a task's copy and what it remembers go with the task.
+    made of it travels once to each executor, and a worker's copy and what it remembers go when a task of another kernel comes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(PrefixBpe(spec)))
+    name = f"bpe {hashlib.sha256(spec.encode()).hexdigest()}"
 
     def digested(bpe: PrefixBpe, texts: pa.Array) -> dict:
         counts, ids, decoded, lists = [], [], [], []
@@ -320,7 +317,7 @@ def bpe_encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
         return out | ({"ids": pa.array(lists, pa.list_(pa.int32()))} if keep_ids else {})
 
     def kernel():
-        bpe = pickle.loads(shared.value)
+        bpe = kept(name, lambda: pickle.loads(shared.value))
         return lambda texts: digested(bpe, texts)
 
-    return map_texts(docs, kernel, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids, id_col, text_col, per_task=True)
+    return map_texts(docs, kernel, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids, id_col, text_col, keep=name)

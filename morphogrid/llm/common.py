@@ -79,8 +79,19 @@ def text_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = KE
         yield batch.slice(begin), texts.slice(begin)
 
 
-def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`run`, and then the memory it freed goes back to the system: Python workers outlive their tasks and would hold on to it.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What `make` makes, once in a Python worker; it stays until a task of another kernel begins there."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, and then the memory it freed goes back to the system: Python workers outlive their tasks and would hold on to it. What
+    tasks of other kernels than `keep` left in the worker goes first.
 
     Arrow batches of this session hold `BATCH_ROWS` rows at most from now on, unless its settings ask for another number than Spark's own.
     """
@@ -89,6 +100,8 @@ def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
         session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [n for n in _kept if n != keep]:
+            del _kept[name]
         try:
             yield from run(batches)
         finally:
@@ -110,11 +123,11 @@ def filter_texts(df: DataFrame, verdict: Callable[[pa.Array], np.ndarray], text_
     return df.mapInArrow(releasing(run), df.schema)
 
 
-def map_texts(df: DataFrame, kernel: Callable[[pa.Array], dict], result: str, id_col: str = "doc_id", text_col: str = "text", limit: int = KERNEL_BYTES, per_task: bool = False) -> DataFrame:
+def map_texts(df: DataFrame, kernel: Callable[[pa.Array], dict], result: str, id_col: str = "doc_id", text_col: str = "text", limit: int = KERNEL_BYTES, keep: str | None = None) -> DataFrame:
     """One output row for each input row: the id and what `kernel(texts)` returns, a dict of columns typed by the DDL `result`.
 
-    Runs as a narrow map, without a shuffle; other columns of `df` are never read. Rows keep nulls in the id. With `per_task`,
-    `kernel()` makes the kernel of one task, and what that holds goes when the task ends.
+    Runs as a narrow map, without a shuffle; other columns of `df` are never read. Rows keep nulls in the id. With `keep`,
+    `kernel()` makes the kernel of a task, from what it has `kept` under that name.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -123,10 +136,10 @@ def map_texts(df: DataFrame, kernel: Callable[[pa.Array], dict], result: str, id
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = kernel() if per_task else kernel
+        own = kernel() if keep else kernel
         for batch, texts in text_batches(batches, "text", limit):
             columns = {"doc_id": batch.column(0)} | own(texts)
             arrays = [columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name]) for f in arrow]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
 
-    return narrow.mapInArrow(releasing(run), schema)
+    return narrow.mapInArrow(releasing(run, keep), schema)

@@ -10,18 +10,19 @@ begin of a word. With that normaliser the counts are those of the tokenizers lib
 from __future__ import annotations
 
 import re
+import zlib
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import kept, map_texts
 
 #: Marks the begin of a word in the vocabulary.
 MARK = "▁"
-#: Words a task remembers before it forgets them all.
-REMEMBERED = 200_000
+#: Words a worker remembers before it forgets them all.
+REMEMBERED = 400_000
 UNKNOWN_PENALTY = 10.0
 RESULT = "n_tokens long, n_words long, n_unknown long, best_score double"
 
@@ -116,6 +117,7 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], id_col: s
     rows and null ids stay. The vocabulary (fixed in size, not by the data) travels once to each executor.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))
+    name = f"unigram {zlib.crc32(repr(vocabulary).encode())} {len(vocabulary)}"
 
     def counted(counter: Counter, texts: pa.Array) -> dict:
         rows = [counter.text(t) for t in texts.to_pylist()]
@@ -123,7 +125,7 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], id_col: s
         return {"n_tokens": pa.array(columns[0], pa.int64()), "n_words": pa.array(columns[1], pa.int64()), "n_unknown": pa.array(columns[2], pa.int64()), "best_score": np.array(columns[3], float)}
 
     def kernel():
-        counter = Counter(list(shared.value))
+        counter = kept(name, lambda: Counter(list(shared.value)))
         return lambda texts: counted(counter, texts)
 
-    return map_texts(docs, kernel, RESULT, id_col, text_col, per_task=True)
+    return map_texts(docs, kernel, RESULT, id_col, text_col, keep=name)

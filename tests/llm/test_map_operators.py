@@ -76,13 +76,11 @@ def test_suffix_automaton_against_endswith():
     auto = bpe_prefix.SuffixAutomaton((t, k) for k, t in enumerate(tokens))
     text, state, length = "ababcabbabxbab", 0, 0
     for end, c in enumerate(text, 1):
-        number = auto.code.get(c)
-        while number is not None and state and state * auto.width + number not in auto.step:
+        while state and c not in auto.step[state]:
             state, length = auto.link[state], auto.size[auto.link[state]]
-        if number is None:
-            state, length = 0, 0
+        if c not in auto.step[state]:
             continue
-        state, length = auto.step[state * auto.width + number], length + 1
+        state, length = auto.step[state][c], length + 1
         at = state if auto.name[state] >= 0 and length == auto.size[state] else auto.marked[state]
         found = []
         while at > 0:
