@@ -284,7 +284,7 @@ def _tiles(prefixes: DataFrame, percent: int) -> DataFrame:
 
 
 class TextFilter:
-    """A bit map of text hashes; too many hashes for its greatest length only make it pass more."""
+    """A bit map of hashes; too many hashes for its greatest length only make it pass more."""
 
     def __init__(self, hashes: DataFrame):
         self.bits = 1 << min(max(16 * hashes.count(), 1 << 16).bit_length(), FILTER_BITS.bit_length() - 1)
@@ -520,12 +520,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     return some.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id")))
 
 
+def _passing(docs: DataFrame, id_col: str, asked: TextFilter, wanted: bool) -> DataFrame:
+    """The rows of `docs` whose id passes the filter, or those whose id doesn't."""
+    shared = docs.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passed = shared.value(batch.column(batch.num_columns - 1).to_numpy())
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(passed == wanted))
+
+    return docs.select(*docs.columns, F.xxhash64(id_col).alias("id hash")).mapInArrow(releasing(run), docs.schema)
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose id is the least of its component; of repeated rows with such an id and equal texts one stays. Rows with a
     null id stay."""
     found = durable(jaccard_components(docs, k, percent, id_col, text_col))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = durable(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct())
+    # a filter of fixed size tells most rows that stay, so their texts aren't shuffled
+    asked = TextFilter(gone.select(F.xxhash64(id_col).alias("t")))
+    kept = _passing(docs, id_col, asked, False).union(_passing(docs, id_col, asked, True).join(gone, id_col, "left_anti").select(*docs.columns))
     twice = durable(found.where("doc_id = component_id and n_shingles > 0").groupBy(F.col("doc_id").alias(id_col)).agg(F.count("*").alias("rows")).where("rows > 1").select(id_col))
     if twice.isEmpty():
         return kept
