@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import agreement as ag
+from ..operators.similarity import similarity, similarity_table
 from ..operators import graph as gr
 from ..operators import heights as ht
 from ..operators import overlay as ov
@@ -369,8 +370,7 @@ l_tax * 8 AS t, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE l_quantity / 20 EN
 @query(f"SELECT l_orderkey, l_linenumber, {', '.join(f'{_distance_sql(c, LINE, zn.BUILT_WEIGHTS if c in zn.BUILT else zn.NATURAL_WEIGHTS)} AS lcz_d{c}' for c in (*zn.BUILT, *zn.NATURAL))} FROM ({LINE_TEXT}) q")
 def prototype_distances(spark, d):
     line = spark.sql(LINE_TEXT.replace("FROM lineitem", "FROM {t}"), t=spark.read.parquet(f"{d}/lineitem.parquet"))
-    value = {k: F.col(c) for k, c in LINE.items()}
-    return line.select("l_orderkey", "l_linenumber", *[F.round(zn.distance(c, value, zn.BUILT_WEIGHTS if c in zn.BUILT else zn.NATURAL_WEIGHTS), 6).alias(f"lcz_d{c}") for c in (*zn.BUILT, *zn.NATURAL)])
+    return zn.with_distances(line, LINE).select("l_orderkey", "l_linenumber", *[f"lcz_d{c}" for c in (*zn.BUILT, *zn.NATURAL)])
 
 
 @query(f"""SELECT unit_id, CASE WHEN is_built AND height_of_roughness_elements_m < 8 THEN 7 WHEN is_built AND building_surface_fraction > 0.25 THEN 8 ELSE lcz_primary END AS label,
@@ -423,17 +423,20 @@ def viz_rounding(spark, d):
 
 # ---------------------------------------------------------------- validation
 OK_SQL = "(predicted IS NOT NULL AND reference IS NOT NULL AND coalesce(coverage, 0) >= 0.5)"
-_rate = lambda a, b: f"round(count(*) FILTER ({a})::DOUBLE / nullif(count(*) FILTER ({b}), 0), 6)"
+_area = lambda a: f"coalesce(sum(area) FILTER ({a}), 0.0)"
+_share = lambda part, whole: f"round(CASE WHEN {whole} > 0 THEN {part} / {whole} ELSE 0.0 END, 6)::DOUBLE"
+_rate = lambda a, b: _share(_area(f"{OK_SQL} AND {a}"), _area(f"{OK_SQL} AND {b}"))
 
 
-@query(f"""SELECT count(*) AS n_units, count(*) FILTER (reference IS NULL) AS no_reference, count(*) FILTER (reference IS NOT NULL AND coalesce(coverage, 0) < 0.5) AS low_coverage, count(*) FILTER (reference IS NOT NULL AND coalesce(coverage, 0) >= 0.5 AND predicted IS NULL) AS no_prediction,
-count(*) FILTER ({OK_SQL}) AS n_compared, {_rate(OK_SQL + ' AND predicted = reference', OK_SQL)} AS overall, {_rate(OK_SQL + ' AND reference <= 10 AND predicted = reference', OK_SQL + ' AND reference <= 10')} AS built, {_rate(OK_SQL + ' AND reference > 10 AND predicted = reference', OK_SQL + ' AND reference > 10')} AS natural,
-{_rate(OK_SQL + ' AND (reference <= 10) = (predicted <= 10)', OK_SQL)} AS built_or_natural, {_rate(OK_SQL + ' AND reference > 10', OK_SQL)} AS natural_share FROM {LB}""")
+@query(f"""SELECT count(*) AS n_units, count(*) FILTER (predicted IS NULL) AS no_prediction, count(*) FILTER (predicted IS NOT NULL AND reference IS NULL) AS no_reference,
+count(*) FILTER (predicted IS NOT NULL AND reference IS NOT NULL AND coalesce(coverage, 0) < 0.5) AS low_coverage, count(*) FILTER ({OK_SQL}) AS n_compared, count(*) FILTER ({OK_SQL} AND predicted <> reference) AS n_disagree, {_area(OK_SQL)} AS area_compared,
+{_rate("predicted = reference", "true")} AS overall, {_rate("reference <= 10 AND predicted = reference", "reference <= 10")} AS built, {_rate("reference > 10 AND predicted = reference", "reference > 10")} AS natural,
+{_rate("(reference <= 10) = (predicted <= 10)", "true")} AS built_or_natural, {_rate("reference > 10", "true")} AS natural_share FROM {LB}""")
 def agreement_summary(spark, d):
     return ag.summary(city.relation(spark, d, "labels2"))
 
 
-CONFUSION_SQL = f"SELECT reference, predicted, count(*) AS n FROM {LB} WHERE {OK_SQL} GROUP BY 1, 2"
+CONFUSION_SQL = f"SELECT reference, predicted, count(*) AS n, sum(area) AS area FROM {LB} WHERE {OK_SQL} GROUP BY 1, 2"
 
 
 @query(CONFUSION_SQL)
@@ -441,32 +444,46 @@ def confusion(spark, d):
     return ag.confusion(city.relation(spark, d, "labels2"))
 
 
-@query(f"""WITH c AS ({CONFUSION_SQL}), r AS (SELECT reference AS code, sum(n)::BIGINT AS n_reference, coalesce(sum(n) FILTER (reference = predicted), 0)::BIGINT AS hits FROM c GROUP BY 1), p AS (SELECT predicted AS code, sum(n)::BIGINT AS n_predicted FROM c GROUP BY 1),
-j AS (SELECT code, coalesce(n_reference, 0) AS n_reference, coalesce(n_predicted, 0) AS n_predicted, coalesce(hits, 0) AS hits FROM r FULL JOIN p USING (code))
-SELECT *, round(hits::DOUBLE / nullif(n_reference, 0), 6) AS producer, round(hits::DOUBLE / nullif(n_predicted, 0), 6) AS user, round(2 * hits::DOUBLE / nullif(n_reference + n_predicted, 0), 6) AS f1 FROM j""".replace(" AS user", ' AS "user"'))
+@query(f"""WITH k AS (SELECT * FROM {LB} WHERE {OK_SQL}),
+r AS (SELECT reference AS code, count(*) AS n_reference, sum(area) AS area_reference, count(*) FILTER (predicted = reference) AS n_agree, {_area("predicted = reference")} AS area_agree FROM k GROUP BY 1),
+p AS (SELECT predicted AS code, count(*) AS n_predicted, sum(area) AS area_predicted FROM k GROUP BY 1),
+j AS (SELECT code, coalesce(n_reference, 0) AS n_reference, coalesce(area_reference, 0.0) AS area_reference, coalesce(n_agree, 0) AS n_agree, coalesce(area_agree, 0.0) AS area_agree, coalesce(n_predicted, 0) AS n_predicted, coalesce(area_predicted, 0.0) AS area_predicted FROM r FULL JOIN p USING (code)),
+a AS (SELECT *, CASE WHEN area_reference > 0 THEN area_agree / area_reference ELSE 0.0 END AS pa, CASE WHEN area_predicted > 0 THEN area_agree / area_predicted ELSE 0.0 END AS ua FROM j)
+SELECT code, n_reference, area_reference, n_agree, area_agree, n_predicted, area_predicted, round(pa, 6) AS producer, round(ua, 6) AS "user", round(CASE WHEN ua + pa > 0 THEN 2 * ua * pa / (ua + pa) ELSE 0.0 END, 6) AS f1 FROM a""")
 def agreement_per_class(spark, d):
     return ag.per_class(city.relation(spark, d, "labels2"))
 
 
-@query(f"""WITH c AS ({CONFUSION_SQL}), x(a, b) AS (VALUES {", ".join(map(str, ag.HEIGHT))}), t AS (SELECT sum(n) AS total FROM c),
-e AS (SELECT a, b, coalesce((SELECT sum(n) FROM c WHERE (reference = a AND predicted = b) OR (reference = b AND predicted = a)), 0)::BIGINT AS confused,
-(coalesce((SELECT sum(n) FROM c WHERE reference = a), 0) * coalesce((SELECT sum(n) FROM c WHERE predicted = b), 0) + coalesce((SELECT sum(n) FROM c WHERE reference = b), 0) * coalesce((SELECT sum(n) FROM c WHERE predicted = a), 0))::DOUBLE / total AS expected FROM x, t)
-SELECT a, b, confused, round(expected, 6) AS expected, round(CASE WHEN expected > 0 THEN confused / expected END, 6) AS lift FROM e""")
+@query(f"""WITH w AS (SELECT reference, predicted, area FROM {LB} WHERE {OK_SQL} AND predicted <> reference), x(a, b) AS (VALUES {", ".join(map(str, (*ag.COMPACTNESS, *ag.HEIGHT)))}), t AS (SELECT count(*) AS m, sum(area) AS s FROM w),
+e AS (SELECT a, b, count(*) FILTER (reference = a AND predicted = b) AS n_forward, count(*) FILTER (reference = b AND predicted = a) AS n_backward, {_area("(reference = a AND predicted = b) OR (reference = b AND predicted = a)")} AS area FROM x, w GROUP BY 1, 2)
+SELECT a, b, n_forward, n_backward, n_forward + n_backward AS n_total, round((n_forward + n_backward)::DOUBLE / m, 6) AS share_of_disagreement, round(area / s, 6) AS share_of_disagreement_area FROM e, t""")
+def axis_pairs(spark, d):
+    return ag.axis_pairs(city.relation(spark, d, "labels2"), (*ag.COMPACTNESS, *ag.HEIGHT))
+
+
+_AXES = [(f"'{name}'", x, y) for name, axis in (("compactness", ag.COMPACTNESS), ("height", ag.HEIGHT)) for a, b in axis for x, y in ((a, b), (b, a))]
+
+
+@query(f"""WITH w AS (SELECT reference, predicted, area FROM {LB} WHERE {OK_SQL} AND predicted <> reference), x(axis, r, p) AS (VALUES {", ".join(f"({n}, {a}, {b})" for n, a, b in _AXES)}), t AS (SELECT count(*)::DOUBLE AS m, sum(area) AS s FROM w),
+q AS (SELECT predicted, count(*) / any_value(m) AS q FROM w, t GROUP BY 1), n AS (SELECT reference, count(*) / any_value(m) AS f FROM w, t GROUP BY 1),
+c AS (SELECT x.axis, sum(n.f * q.q / (1 - coalesce(o.q, 0))) AS expected FROM x JOIN n ON n.reference = x.r JOIN q ON q.predicted = x.p LEFT JOIN q o ON o.predicted = x.r WHERE coalesce(o.q, 0) < 1 GROUP BY 1),
+b AS (SELECT axis, count(w.reference) AS n_total, coalesce(sum(w.area), 0.0) AS area FROM x LEFT JOIN w ON w.reference = x.r AND w.predicted = x.p GROUP BY 1), g AS (SELECT count(*) AS n_axis_eligible FROM w WHERE reference IN (SELECT r FROM x))
+SELECT b.axis, n_total, round(n_total / m, 6) AS share_of_disagreement, round(area / s, 6) AS share_of_disagreement_area, n_axis_eligible, round(n_total::DOUBLE / n_axis_eligible, 6) AS share_of_axis_eligible, round(expected, 6) AS expected_share, round(n_total / m / expected, 6) AS lift
+FROM b, c, t, g WHERE b.axis = c.axis""")
 def axis_lift(spark, d):
     return ag.axis_lift(city.relation(spark, d, "labels2"))
 
 
-@query(f"SELECT round(sum(n * (1 - abs(reference - predicted) / 16.0)) / sum(n), 6)::DOUBLE AS weighted_agreement FROM ({CONFUSION_SQL})")
+@query(f"WITH s(reference, predicted, w) AS (VALUES {', '.join(f'({a}, {b}, {w}::DOUBLE)' for (a, b), w in similarity().items())}) SELECT round(sum(n * w) / sum(n), 6)::DOUBLE AS weighted_agreement FROM ({CONFUSION_SQL}) JOIN s USING (reference, predicted)")
 def weighted_agreement(spark, d):
-    """Agreement weighted by a similarity of classes, here one that falls with the distance of their codes."""
-    table = ag.confusion(city.relation(spark, d, "labels2"))
-    alike = spark.range(1, 18).select(F.col("id").cast("int").alias("reference")).withColumn("predicted", F.explode(F.sequence(F.lit(1), F.lit(17)))).withColumn("w", 1 - F.abs(F.col("reference") - F.col("predicted")) / 16.0)
-    return table.join(F.broadcast(alike), ["reference", "predicted"]).agg(F.round(F.sum(F.col("n") * F.col("w")) / F.sum("n"), 6).alias("weighted_agreement"))
+    """Agreement weighted by the published similarity of classes."""
+    return ag.weighted_agreement(city.relation(spark, d, "labels2"), similarity_table(spark))
 
 
-@query(f"""WITH k AS (SELECT least(floor(coverage * 10), 9)::INTEGER AS band, predicted = reference AS same FROM {LB} WHERE coverage IS NOT NULL AND predicted IS NOT NULL AND reference IS NOT NULL)
-SELECT b.band, count(k.band) AS n, round(count(*) FILTER (same)::DOUBLE / nullif(count(k.band), 0), 6) AS agreement FROM (SELECT unnest(range(10))::INTEGER AS band) b LEFT JOIN k USING (band) GROUP BY 1""")
+@query(f"""WITH k AS (SELECT least(floor(completeness * 10), 9)::INTEGER AS band, area, predicted = reference AS same FROM {LB} WHERE {OK_SQL} AND completeness BETWEEN 0 AND 1)
+SELECT b.band, count(k.band) AS n, coalesce(sum(area), 0.0) AS area, round(CASE WHEN sum(area) > 0 THEN {_area("same")} / sum(area) ELSE 0.0 END, 6) AS agreement FROM (SELECT unnest(range(10))::INTEGER AS band) b LEFT JOIN k USING (band) GROUP BY 1""")
 def agreement_strata(spark, d):
+    """By completeness of heights."""
     return ag.strata(city.relation(spark, d, "labels2"))
 
 
@@ -525,11 +542,10 @@ def scaling_exponent(spark, d):
     return n.agg(F.round(F.regr_slope(F.ln("n"), F.ln("k")), 5).alias("exponent"))
 
 
-@query(f"SELECT city, round(max(n) / sum(n)::DOUBLE, 6) AS baseline, round(sum(same) / sum(n)::DOUBLE, 6) AS agreement, round(sum(same) / sum(n)::DOUBLE - max(n) / sum(n)::DOUBLE, 6) AS above FROM (SELECT city, reference, count(*) AS n, sum((predicted = reference)::INTEGER) AS same FROM {LB} WHERE reference IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
+@query(f"""WITH k AS (SELECT city, reference, sum(area) AS area, {_area("predicted = reference")} AS same FROM {LB} WHERE {OK_SQL} GROUP BY 1, 2)
+SELECT city, round(max(area) / sum(area), 6) AS baseline, round(sum(same) / sum(area), 6) AS agreement, round(sum(same) / sum(area) - max(area) / sum(area), 6) AS above FROM k GROUP BY 1""")
 def baseline_agreement(spark, d):
-    n = city.relation(spark, d, "labels2").where("reference is not null").groupBy("city", "reference").agg(F.count("*").alias("n"), F.sum((F.col("predicted") == F.col("reference")).cast("int")).alias("same"))
-    base, agree = F.max("n") / F.sum("n"), F.sum("same") / F.sum("n")
-    return n.groupBy("city").agg(F.round(base, 6).alias("baseline"), F.round(agree, 6).alias("agreement"), F.round(agree - base, 6).alias("above"))
+    return ag.above_baseline(city.relation(spark, d, "labels2"), "city")
 
 
 @query(f"SELECT unit, round(CASE WHEN coverage < 0.2 THEN (0.2 - coverage) / 0.4 WHEN coverage > 0.6 THEN (coverage - 0.6) / 0.4 WHEN coverage IS NOT NULL THEN 0.0 END, 8)::DOUBLE AS gap FROM {LB}")

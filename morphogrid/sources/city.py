@@ -37,7 +37,8 @@ TEXT = {
               row_number() OVER (PARTITION BY event_id % cast({W} / 10 AS bigint), (event_id * 37) % cast({W} / 10 AS bigint) ORDER BY event_id DESC) AS k FROM {events}) q WHERE k = 1""",
     "labels2": """
         SELECT c_custkey AS unit, cast(1 + c_custkey % 17 AS int) AS predicted, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE cast(1 + (c_custkey * c_nationkey) % 17 AS int) END AS reference,
-        CASE WHEN c_acctbal < 0 THEN NULL ELSE least(c_acctbal / 10000, 1.0) END AS coverage, cast(1 + c_custkey % 5 AS double) AS weight, c_acctbal AS measure, c_nationkey AS city
+        CASE WHEN c_acctbal < 0 THEN NULL ELSE least(c_acctbal / 10000, 1.0) END AS coverage, cast(1 + c_custkey % 5 AS double) AS weight, c_acctbal AS measure, c_nationkey AS city,
+        cast(10000 - 2500 * (c_custkey % 3) AS double) AS area, CASE WHEN c_custkey % 11 = 10 THEN NULL ELSE cast(c_custkey % 10 AS double) / 8 END AS completeness
         FROM {customer}""",
 }
 NEEDS = {"buildings": "orders", "land_use": "part", "streets": "supplier", "pixels": "events", "labels2": "customer"}
@@ -51,7 +52,9 @@ def width(spark: SparkSession, sf_dir: str) -> int:
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One relation of the city as a DataFrame."""
     source = NEEDS[name]
-    text = TEXT[name].replace("{W}", str(width(spark, sf_dir)))
+    text = TEXT[name]
+    if "{W}" in text:
+        text = text.replace("{W}", str(width(spark, sf_dir)))
     return spark.sql(text, **{source: spark.read.parquet(f"{sf_dir}/{source}.parquet")})
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from morphogrid.operators import agreement as ag
+from morphogrid.operators.similarity import similarity, similarity_table
 from morphogrid.operators import heights as ht
 from morphogrid.operators import overlay as ov
 from morphogrid.operators import zones as zn
@@ -127,9 +128,43 @@ def test_weighted_quantile_takes_the_lower_candidate(spark):
 
 
 def test_strata_keep_empty_bands_and_close_the_last(spark):
-    f = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.95), (None, 2, 0.5)], "predicted int, reference int, coverage double")
-    got = {r.band: (r.n, r.agreement) for r in ag.strata(f).collect()}
-    assert len(got) == 10 and got[9] == (2, 0.5) and got[5] == (0, None)
+    f = spark.createDataFrame([(1.0, 1, 1, 1.0, 300.0), (0.95, 1, 2, 1.0, 100.0), (0.05, 2, 2, 1.0, 7.0), (0.05, 2, 1, 0.4, 9.0), (None, 1, 1, 1.0, 5.0)], "completeness double, predicted int, reference int, coverage double, area double")
+    got = {r.band: (r.n, r.area, r.agreement) for r in ag.strata(f).collect()}
+    assert got[9] == (2, 400.0, 0.75) and got[0] == (1, 7.0, 1.0) and got[4] == (0, 0.0, 0.0) and len(got) == 10
+
+
+def test_agreement_by_area(spark):
+    rows = [(1, 1, 1.0, 300.0), (1, 2, 1.0, 100.0), (11, 11, 0.6, 50.0), (11, 1, 1.0, 50.0), (None, 3, 1.0, 9.0), (None, None, 1.0, 9.0), (3, None, 0.1, 9.0), (3, 3, 0.4, 9.0), (3, 3, None, 9.0)]
+    f = spark.createDataFrame(rows, "predicted int, reference int, coverage double, area double")
+    r = ag.summary(f).first()
+    assert (r.n_units, r.no_prediction, r.no_reference, r.low_coverage, r.n_compared, r.n_disagree, r.area_compared) == (9, 2, 1, 2, 4, 2, 500.0)
+    assert (r.overall, r.built, r.natural, r.built_or_natural, r.natural_share) == (0.7, round(300 / 450, 6), 1.0, 0.9, 0.1)
+    empty = ag.summary(f.where("false")).first()
+    assert empty.n_units == 0 and f.where("predicted is null").transform(ag.summary).first().overall == 0.0
+    one = {x.code: x for x in ag.per_class(f).collect()}[1]
+    assert (one.n_reference, one.n_predicted, one.producer, one.user, one.f1) == (2, 2, round(300 / 350, 6), 0.75, 0.8)
+
+
+def test_similarity_weighs_near_misses(spark):
+    weights = similarity_table(spark)
+    w = similarity()
+    assert len(w) == 289 and all(w[c, c] == 1.0 for c in range(1, 18)) and all(w[a, b] == w[b, a] for a, b in w)
+    schema = "predicted int, reference int, coverage double, area double"
+    score = lambda rows: ag.weighted_agreement(spark.createDataFrame(rows, schema), weights).first()[0]
+    assert score([(2, 1, 1.0, 5.0)]) == 0.92 and score([(c, c, 1.0, 1.0) for c in range(1, 18)]) == 1.0 and score([(17, 1, 1.0, 1.0)]) == 0.0
+
+
+def test_axis_lift_by_hand(spark):
+    # four disagreements: 1 -> 4 twice (compactness), 1 -> 2 (height), 8 -> 4 (neither)
+    rows = [(4, 1, 1.0, 10.0), (4, 1, 1.0, 30.0), (2, 1, 1.0, 20.0), (4, 8, 1.0, 40.0), (5, 5, 1.0, 99.0)]
+    f = spark.createDataFrame(rows, "predicted int, reference int, coverage double, area double")
+    got = {r.axis: r for r in ag.axis_lift(f).collect()}
+    # q: 4 has 3/4, 2 has 1/4; references: 1 three times, 8 once; q of 1 and of 8 is 0
+    assert (got["compactness"].n_total, got["compactness"].expected_share, got["compactness"].lift) == (2, round(0.75 * 0.75, 6), round(0.5 / 0.5625, 6))
+    assert (got["height"].n_total, got["height"].expected_share, got["height"].lift) == (1, round(0.75 * 0.25, 6), round(0.25 / 0.1875, 6))
+    assert got["height"].n_axis_eligible == 3 and got["compactness"].share_of_disagreement_area == 0.4
+    pairs = {(r.a, r.b): (r.n_forward, r.n_backward, r.share_of_disagreement) for r in ag.axis_pairs(f, ag.COMPACTNESS).collect()}
+    assert pairs == {(1, 4): (2, 0, 0.5), (2, 5): (0, 0, 0.0), (3, 6): (0, 0, 0.0)}
 
 
 def test_significant_figures_round_half_to_even(spark):
