@@ -45,7 +45,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: SQL can express neither the classifier nor the encoding; tests hold the stages against plain versions.
+#: SQL can express neither the classifier nor the encoding; tests check what each stage promises.
 ORACLE_SQL = None
 
 
