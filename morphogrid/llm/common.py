@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one kernel call takes at most, but for a single longer text.
 KERNEL_BYTES = 1 << 20
-#: Rows of an Arrow batch: texts of some kilobytes make batches of some megabytes.
-BATCH_ROWS = 2_000
+#: Rows and bytes of an Arrow batch, whichever it reaches first; a single longer row makes a batch of its own. Spark's own 64 MB of
+#: buffers outside the heap, and as much in the worker, for each running task would be most of what an executor has beside its heap.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,11 +94,14 @@ def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     """`run`, and then the memory it freed goes back to the system: Python workers outlive their tasks and would hold on to it. What
     tasks of other kernels than `keep` left in the worker goes first.
 
-    Arrow batches of this session hold `BATCH_ROWS` rows at most from now on, unless its settings ask for another number than Spark's own.
+    Arrow batches of this session hold `BATCH_ROWS` rows and about `BATCH_BYTES` bytes at most from now on, unless its settings ask for
+    other numbers than Spark's own.
     """
     session = SparkSession.getActiveSession()
-    if session is not None and session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if session is not None:
+        for name, own, ours in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b")):
+            if session.conf.get(f"spark.sql.execution.arrow.{name}") == own:
+                session.conf.set(f"spark.sql.execution.arrow.{name}", ours)
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name in [n for n in _kept if n != keep]:
