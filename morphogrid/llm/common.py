@@ -90,6 +90,20 @@ def kept(name: str, make: Callable[[], object]) -> object:
     return _kept[name]
 
 
+def drop_kept(keep: str | None = None) -> None:
+    """Drops what is `kept` under other names. Tasks must call this by its module's name: a closure travels with a copy of `_kept`."""
+    for name in [n for n in _kept if n != keep]:
+        del _kept[name]
+
+
+def trim_memory() -> None:
+    """Hands freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """`run`, and then the memory it freed goes back to the system: Python workers outlive their tasks and would hold on to it. What
     tasks of other kernels than `keep` left in the worker goes first.
@@ -104,15 +118,11 @@ def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
                 session.conf.set(f"spark.sql.execution.arrow.{name}", ours)
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name in [n for n in _kept if n != keep]:
-            del _kept[name]
+        drop_kept(keep)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-            if trim:
-                trim(0)
+            trim_memory()
 
     return wrapped
 

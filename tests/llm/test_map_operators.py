@@ -211,3 +211,17 @@ def test_texts_cut_into_kernel_batches():
 
     batch = pa.RecordBatch.from_arrays([pa.array(["aa", None, "b" * 50, "", "cc"])], ["text"])
     assert [t.to_pylist() for _, t in text_batches([batch], "text", 4)] == [["aa", ""], ["b" * 50], ["", "cc"]]
+
+
+def test_a_task_of_another_kernel_drops_what_was_kept():
+    from pyspark import cloudpickle
+
+    from morphogrid.llm import common
+
+    common._kept.clear()
+    travelled = cloudpickle.loads(cloudpickle.dumps((common.releasing(iter, "mine"), common.releasing(iter))))
+    common.kept("mine", list)
+    list(travelled[0](iter([])))
+    assert "mine" in common._kept
+    list(travelled[1](iter([])))
+    assert not common._kept
