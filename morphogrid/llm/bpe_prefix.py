@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .common import kept, map_texts
 
 #: Chunks between white space, and pairs of tokens, that a worker remembers before it forgets them all; greatest length of a chunk.
-REMEMBERED, PAIRS, LONGEST = 400_000, 300_000, 64
+REMEMBERED, PAIRS, LONGEST = 150_000, 150_000, 64
 #: Stands after the last symbol of a word inside the automaton; no byte symbol.
 END = "\x00"
 #: White space as the tokenizer's patterns see it; str.split() also splits at U+001C..U+001F.
