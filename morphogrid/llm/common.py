@@ -40,6 +40,7 @@ def durable(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
+    trim_memory()  # of the driver: models and filters made for earlier tables are gone
     return out
 
 
