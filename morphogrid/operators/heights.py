@@ -44,11 +44,12 @@ def moments(pieces: DataFrame, floor: float = 0.1) -> DataFrame:
     )
 
 
-def provenance(pieces: DataFrame, sources: Sequence[str]) -> DataFrame:
-    """Area share of each configured height source in a unit; columns come from the configuration, not the data."""
+def provenance(pieces: DataFrame, sources: Sequence[str], own: Sequence[str] = ("height", "floors")) -> DataFrame:
+    """Area share of each configured height source in a unit, and of those that are the buildings' `own` attributes
+    (height_completeness); columns come from the configuration, not the data."""
     total = F.sum("piece_area")
-    share = lambda s: F.round(F.sum(F.when(F.col("height_source") == s, F.col("piece_area")).otherwise(0.0)) / total, 6)
-    return pieces.groupBy("unit_id").agg(*[share(s).alias(f"height_frac_{s}") for s in sources])
+    share = lambda *s: F.round(F.sum(F.when(F.col("height_source").isin(*s), F.col("piece_area")).otherwise(0.0)) / total, 6)
+    return pieces.groupBy("unit_id").agg(share(*[s for s in sources if s in own]).alias("height_completeness"), *[share(s).alias(f"height_frac_{s}") for s in sources])
 
 
 def availability(frame: DataFrame, key: str, flags: dict[str, Column]) -> DataFrame:

@@ -135,6 +135,17 @@ def classify(frame: DataFrame, columns: dict[str, str], industrial: str | None =
     )
 
 
+def without_short(frame: DataFrame, height: Column, minimum: float | None) -> DataFrame:
+    """`frame` without the distance to class 1 where the height is known to be under `minimum`; an unknown height drops nothing."""
+    return frame if minimum is None else frame.withColumn("lcz_d1", F.when(~F.coalesce(height < minimum, F.lit(False)), F.col("lcz_d1")))
+
+
+def height_dependent_weight(dimensions: Sequence[str] = ("aspect_ratio", "height_m")) -> list[tuple[str, float, float]]:
+    """(family, weight, total weight): the weight of the dimensions that are made from the heights of buildings."""
+    families = (("built", BUILT_WEIGHTS), ("natural", NATURAL_WEIGHTS))
+    return [(name, sum(w for d, w in weights.items() if d in dimensions), sum(weights.values())) for name, weights in families]
+
+
 def ordered_rules(label: Column, rules: Sequence[tuple[str, Column, int]]) -> tuple[Column, Column]:
     """The label after ordered rules (name, condition, code), the last that fires winning; and the winner's name."""
     winner = F.lit(None).cast("string")

@@ -239,8 +239,8 @@ def height_cascade(spark, d):
 
 
 PF = _pieces_sql(FILLED_SQL)
-PROVENANCE_SQL = f"""SELECT u.unit_id, {", ".join(f"height_frac_{s}" for s in SOURCES)} FROM {U} u LEFT JOIN
-(SELECT unit_id, {", ".join(f"round(sum(CASE WHEN height_source = '{s}' THEN piece_area ELSE 0.0 END) / sum(piece_area), 6) AS height_frac_{s}" for s in SOURCES)} FROM {PF} GROUP BY 1) p USING (unit_id)"""
+PROVENANCE_SQL = f"""SELECT u.unit_id, height_completeness, {", ".join(f"height_frac_{s}" for s in SOURCES)} FROM {U} u LEFT JOIN
+(SELECT unit_id, round(sum(CASE WHEN height_source IN ('height', 'floors') THEN piece_area ELSE 0.0 END) / sum(piece_area), 6) AS height_completeness, {", ".join(f"round(sum(CASE WHEN height_source = '{s}' THEN piece_area ELSE 0.0 END) / sum(piece_area), 6) AS height_frac_{s}" for s in SOURCES)} FROM {PF} GROUP BY 1) p USING (unit_id)"""
 
 
 @query(PROVENANCE_SQL)
@@ -262,15 +262,6 @@ def tag_availability(spark, d):
     return city.relation(spark, d, "buildings").groupBy(F.coalesce("dataset", F.lit("(unknown)")).alias("dataset")).agg(F.count("*").alias("n"), F.sum(area).cast("double").alias("area"), F.round(tag, 6).alias("tagged_share"), F.array_join(F.sort_array(F.collect_set("subtype")), ",").alias("vocabulary"))
 
 
-@query(f"""WITH s AS (SELECT unit_id, height_source, stddev_pop(filled_height) AS sd, avg(filled_height) AS m, count(*) AS k FROM {PF} WHERE filled_height IS NOT NULL GROUP BY 1, 2)
-SELECT height_source, count(*) AS n, round(median(sd), 5) AS median_std, round(median(sd / m), 5) AS median_cv, round(avg(CASE WHEN sd < 0.01 THEN 1.0 ELSE 0.0 END), 6) AS share_constant FROM s WHERE k >= 3 GROUP BY 1""")
-def height_dispersion(spark, d):
-    """Spread of heights inside units by source, units of three buildings and more."""
-    p = ov.overlay_boxes(_units(spark, d), _filled(spark, d)).where("filled_height is not null")
-    s = p.groupBy("unit_id", "height_source").agg(F.stddev_pop("filled_height").alias("sd"), F.avg("filled_height").alias("m"), F.count("*").alias("k")).where("k >= 3")
-    return s.groupBy("height_source").agg(F.count("*").alias("n"), F.round(F.percentile("sd", F.lit(0.5)), 5).alias("median_std"), F.round(F.percentile(F.col("sd") / F.col("m"), F.lit(0.5)), 5).alias("median_cv"), F.round(F.avg(F.when(F.col("sd") < 0.01, 1.0).otherwise(0.0)), 6).alias("share_constant"))
-
-
 @query(f"""WITH p AS (SELECT l.land_id, b.part_id, b.height, b.subtype, (least(l.x1, b.x1) - greatest(l.x0, b.x0)) * (least(l.y1, b.y1) - greatest(l.y0, b.y0)) AS a FROM {L} l JOIN {B} b ON b.x0 < l.x1 AND b.x1 > l.x0 AND b.y0 < l.y1 AND b.y1 > l.y0),
 r AS (SELECT *, row_number() OVER (PARTITION BY land_id ORDER BY a DESC, part_id) AS k FROM p) SELECT land_id, height, subtype FROM r WHERE k = 1""")
 def inherit_heights(spark, d):
