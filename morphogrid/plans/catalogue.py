@@ -519,11 +519,11 @@ def threshold_sweep(spark, d):
     return _sweep(spark, d).select("*", ag.ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision_"), ag.ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
 
 
-@query(f"SELECT threshold, precision_, recall FROM ({RATES_SQL}) WHERE precision_ IS NOT NULL ORDER BY CASE WHEN precision_ >= 0.3 THEN 0 ELSE 1 END, CASE WHEN precision_ >= 0.3 THEN recall ELSE precision_ END DESC, threshold LIMIT 1")
+@query(f"SELECT threshold, precision_, recall FROM ({RATES_SQL}) WHERE precision_ IS NOT NULL ORDER BY CASE WHEN precision_ >= 0.5 THEN 0 ELSE 1 END, CASE WHEN precision_ >= 0.5 THEN recall ELSE precision_ END DESC, threshold LIMIT 1")
 def operating_point(spark, d):
     """The most recall at a least precision, else the most precise."""
     rates = QUERIES["threshold_sweep"](spark, d).where("precision_ is not null")
-    good = F.col("precision_") >= 0.3
+    good = F.col("precision_") >= 0.5
     return rates.orderBy(F.when(good, 0).otherwise(1), F.when(good, F.col("recall")).otherwise(F.col("precision_")).desc(), "threshold").limit(1).select("threshold", "precision_", "recall")
 
 
