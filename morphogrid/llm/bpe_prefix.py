@@ -15,13 +15,15 @@ import pickle
 import re
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import kept, map_texts
 
-#: Chunks between white space, and pairs of tokens, that a worker remembers before it forgets them all; greatest length of a chunk.
-REMEMBERED, PAIRS, LONGEST = 400_000, 300_000, 64
+#: Chunks between white space, words and pairs of tokens of a generation that a worker remembers; greatest length of a chunk. When a
+#: generation is full the one before it is forgotten, but for what was met again since; so rare words don't drive out common ones.
+REMEMBERED, PAIRS, LONGEST = 150_000, 100_000, 64
 #: Stands after the last symbol of a word inside the automaton; no byte symbol.
 END = "\x00"
 #: White space as the tokenizer's patterns see it; str.split() also splits at U+001C..U+001F.
@@ -94,6 +96,30 @@ class SuffixAutomaton:
             self.marked[state] = above if name[above] >= 0 else self.marked[above]
 
 
+class Recent(dict):
+    """A dict of what was met lately: two generations of `most` entries at most."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def __missing__(self, key):
+        """What the older generation knows of `key`, which then belongs to this one; None where it knows nothing."""
+        found = self.older.pop(key, None)
+        if found is not None:
+            self[key] = found
+        return found
+
+    def __reduce__(self):
+        return Recent, (self.most,)
+
+    def add(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class PrefixBpe:
     """An encoder for one tokenizer file with a BPE model, and its decoder."""
 
@@ -110,6 +136,8 @@ class PrefixBpe:
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         vocabulary = model["vocab"]
         self.names = {i: t for t, i in vocabulary.items()} | {i: t for t, i in self.special.items()}
+        self.decimals = {i: str(i) for i in self.names}
+        self.points = {i: chr(i) for i in self.names}  # ids are kept as strings, a code point for each
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for number, merge in enumerate(model["merges"]):
@@ -126,10 +154,10 @@ class PrefixBpe:
             if i in self.parts or len(text) == 1 + ended:  # others can't be made by merges
                 self.symbols[i] = text
         self.automaton = SuffixAutomaton((text, i) for i, text in self.symbols.items())
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: Recent = Recent(PAIRS)
         self.whole: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.known: Recent = Recent(REMEMBERED)
+        self.words: Recent = Recent(REMEMBERED)
         self.bytes = byte_symbols()
         # the short way for Latin text holds for this pipeline of normaliser and splitter only
         stages = described.get("normalizer") or {}
@@ -148,11 +176,10 @@ class PrefixBpe:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the symbols of both tokens leaves the two apart."""
-        key = left, right
-        if (known := self.apart.get(key)) is None:
-            known = self.apart[key] = self.alone(right) and self._apart(left, right)
-            if len(self.apart) > PAIRS:
-                self.apart.clear()
+        key = left << 32 | right
+        if (known := self.apart[key]) is None:
+            known = self.alone(right) and self._apart(left, right)
+            self.apart.add(key, known)
         return known
 
     def _apart(self, left: int, right: int) -> bool:
@@ -217,7 +244,7 @@ class PrefixBpe:
                 if start:
                     left = tokens[start]
                     if left >= 0:
-                        fits = apart.get((left, token))
+                        fits = apart.get(left << 32 | token)
                         if self.compatible(left, token) if fits is None else fits:
                             tokens[end], before[end] = token, start
                             break
@@ -233,19 +260,17 @@ class PrefixBpe:
             n = before[n]
         return out[::-1]
 
-    def remembered(self, symbols: str) -> tuple[int, str, str]:
-        """(number of ids, ids as text, tokens as text) of one word in byte symbols."""
-        got = self.words.get(symbols)
+    def remembered(self, symbols: str) -> str:
+        """Ids of one word in byte symbols, a code point for each."""
+        got = self.words[symbols]
         if got is None:
             ids = self.word(symbols)
-            got = len(ids), " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids))
+            got = self.points[ids[0]] if len(ids) == 1 else "".join(map(self.points.__getitem__, ids))
             if len(symbols) <= LONGEST:
-                if len(self.words) > REMEMBERED:
-                    self.words.clear()
-                self.words[symbols] = got
+                self.words.add(symbols, got)
         return got
 
-    def chunk(self, text: str) -> tuple[int, str, str]:
+    def chunk(self, text: str) -> str:
         """The same of a text without special tokens: normalised, split into words, each encoded."""
         if self.latin and LATIN.fullmatch(text):
             words = LATIN_WORDS.findall(text.lower())
@@ -256,41 +281,39 @@ class PrefixBpe:
             words = [w for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(normal)]
         if len(words) == 1:
             return self.remembered(words[0])
-        parts = [self.remembered(w) for w in words]
-        return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
-
-    def encode_plain(self, text: str) -> list[tuple[int, str, str]]:
-        """(number of ids, ids as text, tokens as text) of each chunk between white space that has ids."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = []
+        return "".join([self.remembered(w) for w in words])
+
+    def encode_plain(self, text: str) -> list[str]:
+        """Ids of each chunk between white space, a code point for each id."""
+        known, out = self.known, []
         for piece in SPACE.split(text) if ODD_SPACE.search(text) else text.split():
-            got = known.get(piece)
+            got = known[piece]
             if got is None:
                 got = self.chunk(piece)
                 if len(piece) <= LONGEST:
-                    known[piece] = got
-            if got[0]:
-                out.append(got)
+                    known.add(piece, got)
+            out.append(got)
         return out
 
-    def encode_parts(self, text: str) -> list[tuple[int, str, str]]:
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text."""
         if self.cut is None or not self.cut.search(text):
-            return self.encode_plain(text)
+            parts = self.encode_plain(text)
+        else:
+            parts = self._around_special(text)
+        return np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
+
+    def _around_special(self, text: str) -> list[str]:
         out, at = [], 0
         for found in self.cut.finditer(text):
             out += self.encode_plain(text[at : found.start()])
-            out.append((1, str(self.special[found[0]]), found[0]))
+            out.append(self.points[self.special[found[0]]])
             at = found.end()
         return out + self.encode_plain(text[at:])
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.encode_parts(text) for i in ids.split()]
-
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by one space, as a tokenizer without a decoder does; special tokens stay."""
-        return " ".join(self.names[i] for i in ids)
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 def bpe_encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -304,17 +327,16 @@ def bpe_encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
     name = f"bpe {hashlib.sha256(spec.encode()).hexdigest()}"
 
     def digested(bpe: PrefixBpe, texts: pa.Array) -> dict:
-        counts, ids, decoded, lists = [], [], [], []
-        for text in texts.to_pylist():
-            parts = bpe.encode_parts(text)
-            counts.append(sum(p[0] for p in parts))
-            joined = " ".join([p[1] for p in parts])
-            ids.append(hashlib.sha256(joined.encode()).hexdigest())
-            decoded.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
-            if keep_ids:
-                lists.append([int(i) for i in joined.split()])
-        out = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
-        return out | ({"ids": pa.array(lists, pa.list_(pa.int32()))} if keep_ids else {})
+        arrays, ids, decoded = [np.zeros(0, np.int32)], [], []
+        for text in texts:
+            found = bpe.encode(text.as_py())
+            arrays.append(found)
+            listed = found.tolist()
+            ids.append(hashlib.sha256(" ".join(map(bpe.decimals.__getitem__, listed)).encode()).hexdigest())
+            decoded.append(hashlib.sha256(bpe.decode(listed).encode()).hexdigest())
+        counts = np.array([len(a) for a in arrays], np.int64)
+        out = {"n_tokens": pa.array(counts[1:]), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+        return out | ({"ids": pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(np.concatenate(arrays)))} if keep_ids else {})
 
     def kernel():
         bpe = kept(name, lambda: pickle.loads(shared.value))
