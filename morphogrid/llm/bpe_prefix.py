@@ -23,7 +23,7 @@ from .common import kept, map_texts
 
 #: Chunks between white space, words and pairs of tokens of a generation that a worker remembers; greatest length of a chunk. When a
 #: generation is full the one before it is forgotten, but for what was met again since; so rare words don't drive out common ones.
-REMEMBERED, PAIRS, LONGEST = 150_000, 100_000, 64
+REMEMBERED, PAIRS, LONGEST = 250_000, 300_000, 64
 #: Stands after the last symbol of a word inside the automaton; no byte symbol.
 END = "\x00"
 #: White space as the tokenizer's patterns see it; str.split() also splits at U+001C..U+001F.
