@@ -13,17 +13,19 @@ import hashlib
 import json
 import pickle
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import kept, map_texts
 
-#: Chunks between white space, words and pairs of tokens of a generation that a worker remembers; greatest length of a chunk. When a
-#: generation is full the one before it is forgotten, but for what was met again since; so rare words don't drive out common ones.
-REMEMBERED, PAIRS, LONGEST = 250_000, 300_000, 64
+#: Words and pairs of tokens of a generation that a worker remembers; greatest length of a word. When a generation is full the one
+#: before it is forgotten, but for what was met again since; so rare words don't drive out common ones.
+REMEMBERED, PAIRS, LONGEST = 250_000, 100_000, 64
 #: Stands after the last symbol of a word inside the automaton; no byte symbol.
 END = "\x00"
 #: White space as the tokenizer's patterns see it; str.split() also splits at U+001C..U+001F.
@@ -89,8 +91,9 @@ class SuffixAutomaton:
                 last = new
             name[last] = number
         none: dict[str, int] = {}
-        self.step, self.link, self.size, self.name = [out or none for out in step], link, size, name
-        self.marked = [-1] * len(link)  # the longest marked state on the chain beyond a state
+        self.step = [out or none for out in step]
+        self.link, self.size, self.name = (array("i", x) for x in (link, size, name))
+        self.marked = array("i", [-1]) * len(link)  # the longest marked state on the chain beyond a state
         for state in sorted(range(1, len(link)), key=size.__getitem__):
             above = link[state]
             self.marked[state] = above if name[above] >= 0 else self.marked[above]
@@ -131,32 +134,35 @@ class PrefixBpe:
         if model.get("byte_fallback") or model.get("ignore_merges") or model.get("dropout") or model.get("unk_token") or model.get("continuing_subword_prefix"):
             raise ValueError("only plain BPE models over whole byte alphabets are supported")
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.rules = Tokenizer.from_str(spec)  # its normaliser and splitter only
+        rules = described | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None, "decoder": None}
+        self.rules = Tokenizer.from_str(json.dumps(rules))  # normaliser and splitter only
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         vocabulary = model["vocab"]
-        self.names = {i: t for t, i in vocabulary.items()} | {i: t for t, i in self.special.items()}
-        self.decimals = {i: str(i) for i in self.names}
-        self.points = {i: chr(i) for i in self.names}  # ids are kept as strings, a code point for each
-        self.rank: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int, int]] = {}
+        names = {i: t for t, i in vocabulary.items()} | {i: t for t, i in self.special.items()}
+        many = max(names, default=-1) + 1
+        self.names = pa.array([names.get(i) for i in range(many)], pa.large_string())
+        self.decimals = pa.array(map(str, range(many)), pa.large_string())
+        self.rank: dict[int, int] = {}  # by the two ids in one number
+        self.parts = [array("i", [-1]) * many for _ in range(3)]  # of each token made by a merge: left, right, rank
         for number, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             made = vocabulary.get(a + b)
             if a in vocabulary and b in vocabulary and made is not None:
-                pair = vocabulary[a], vocabulary[b]
-                self.rank[pair] = number
-                self.parts.setdefault(made, (*pair, number))
-        self.symbols: dict[int, str] = {}
+                left, right = vocabulary[a], vocabulary[b]
+                self.rank[left << 32 | right] = number
+                if self.parts[0][made] < 0:
+                    for part, value in zip(self.parts, (left, right, number), strict=True):
+                        part[made] = value
+        symbols: dict[int, str] = {}
         for token, i in vocabulary.items():
             ended = bool(self.suffix) and token.endswith(self.suffix)
             text = (token[: -len(self.suffix)] + END) if ended else token
-            if i in self.parts or len(text) == 1 + ended:  # others can't be made by merges
-                self.symbols[i] = text
-        self.automaton = SuffixAutomaton((text, i) for i, text in self.symbols.items())
+            if self.parts[0][i] >= 0 or len(text) == 1 + ended:  # others can't be made by merges
+                symbols[i] = text
+        self.automaton = SuffixAutomaton((text, i) for i, text in symbols.items())
         self.apart: Recent = Recent(PAIRS)
         self.whole: dict[int, bool] = {}
-        self.known: Recent = Recent(REMEMBERED)
         self.words: Recent = Recent(REMEMBERED)
         self.bytes = byte_symbols()
         # the short way for Latin text holds for this pipeline of normaliser and splitter only
@@ -167,10 +173,9 @@ class PrefixBpe:
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The symbols at the token's right (1) or left (0) edge while it is made: (symbol, rank of the merge that takes it away)."""
-        out, gone = [(token, FOREVER)], 0
-        while token in self.parts:
-            left, right, gone = self.parts[token]
-            token = right if side else left
+        out, inner, ranks = [(token, FOREVER)], self.parts[1 if side else 0], self.parts[2]
+        while inner[token] >= 0:
+            gone, token = ranks[token], inner[token]
             out.append((token, gone))
         return out[::-1]
 
@@ -186,7 +191,7 @@ class PrefixBpe:
         a, b = self.edge(left, 1), self.edge(right, 0)
         i = j = 0
         while True:  # the pair at the border at a time; each is there until one of the two is merged away
-            rank = self.rank.get((a[i][0], b[j][0]))
+            rank = self.rank.get(a[i][0] << 32 | b[j][0])
             # of equal merges the left one comes first: before the border's on the left side, after it on the right
             if rank is not None and rank < a[i][1] and rank <= b[j][1]:
                 return False
@@ -200,9 +205,9 @@ class PrefixBpe:
     def alone(self, token: int) -> bool:
         """Whether merging the token's own symbols gives it back."""
         if (known := self.whole.get(token)) is None:
-            known = token not in self.parts
+            left, right, rank = (part[token] for part in self.parts)
+            known = left < 0
             if not known:
-                left, right, rank = self.parts[token]
                 known = self.alone(left) and self.alone(right) and self._meets(left, right, rank)
             self.whole[token] = known
         return known
@@ -212,7 +217,7 @@ class PrefixBpe:
         a, b = self.edge(left, 1), self.edge(right, 0)
         i = j = 0
         while (i, j) != (len(a) - 1, len(b) - 1):
-            found = self.rank.get((a[i][0], b[j][0]))
+            found = self.rank.get(a[i][0] << 32 | b[j][0])
             if found is not None and found < a[i][1] and found <= b[j][1]:
                 return False
             if a[i][1] <= b[j][1]:
@@ -264,8 +269,7 @@ class PrefixBpe:
         """Ids of one word in byte symbols, a code point for each."""
         got = self.words[symbols]
         if got is None:
-            ids = self.word(symbols)
-            got = self.points[ids[0]] if len(ids) == 1 else "".join(map(self.points.__getitem__, ids))
+            got = "".join(map(chr, self.word(symbols)))
             if len(symbols) <= LONGEST:
                 self.words.add(symbols, got)
         return got
@@ -285,35 +289,62 @@ class PrefixBpe:
 
     def encode_plain(self, text: str) -> list[str]:
         """Ids of each chunk between white space, a code point for each id."""
-        known, out = self.known, []
-        for piece in SPACE.split(text) if ODD_SPACE.search(text) else text.split():
-            got = known[piece]
-            if got is None:
-                got = self.chunk(piece)
-                if len(piece) <= LONGEST:
-                    known.add(piece, got)
-            out.append(got)
-        return out
+        return list(map(self.chunk, SPACE.split(text) if ODD_SPACE.search(text) else text.split()))
+
+    def coded(self, text: str) -> str:
+        """Ids of a whole text, a code point for each."""
+        special = self.cut is not None and self.cut.search(text)
+        return "".join(self._around_special(text) if special else self.encode_plain(text))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
-        if self.cut is None or not self.cut.search(text):
-            parts = self.encode_plain(text)
-        else:
-            parts = self._around_special(text)
-        return np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
+        return _numbers(self.coded(text))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all `texts`, a null-free large_string array, and where those of each begin (one more at the end).
+
+        A piece between spaces is looked up once, however often it stands in `texts`. Texts with special tokens are one piece.
+        """
+        odd = np.zeros(len(texts), bool)
+        for token in self.special:
+            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero(odd)
+        whole = [self.coded(texts[i].as_py()) for i in odd.tolist()]
+        if len(odd):
+            texts = pc.if_else(pa.array(np.isin(np.arange(len(texts)), odd)), pa.scalar("", pa.large_string()), texts)
+        split = pc.split_pattern(texts, " ")
+        begins = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        pieces = split.flatten().dictionary_encode()
+        at = pieces.indices.to_numpy().astype(np.int64)
+        at[begins[odd]] = len(pieces.dictionary) + np.arange(len(odd))  # an empty text is one empty piece
+        codes = ["".join(self.encode_plain(piece)) for piece in pieces.dictionary.to_pylist()] + whole
+        size = np.fromiter(map(len, codes), np.int64, len(codes))
+        first, size = (np.cumsum(size) - size)[at], size[at]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        return _numbers("".join(codes))[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])], ends[begins]
 
     def _around_special(self, text: str) -> list[str]:
         out, at = [], 0
         for found in self.cut.finditer(text):
             out += self.encode_plain(text[at : found.start()])
-            out.append(self.points[self.special[found[0]]])
+            out.append(chr(self.special[found[0]]))
             at = found.end()
         return out + self.encode_plain(text[at:])
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by one space, as a tokenizer without a decoder does; special tokens stay."""
-        return " ".join(map(self.names.__getitem__, ids))
+        return " ".join(self.names.take(pa.array(ids, pa.int64())).to_pylist())
+
+
+def _numbers(code: str) -> np.ndarray:
+    """The ids that the code points of `code` stand for."""
+    return np.frombuffer(code.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
+
+
+def _digests(names: pa.Array, ids: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """SHA-256 of the names of each list of ids, joined by one space."""
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(begins), names.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
+    return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined], pa.string())
 
 
 def bpe_encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -327,16 +358,9 @@ def bpe_encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
     name = f"bpe {hashlib.sha256(spec.encode()).hexdigest()}"
 
     def digested(bpe: PrefixBpe, texts: pa.Array) -> dict:
-        arrays, ids, decoded = [np.zeros(0, np.int32)], [], []
-        for text in texts:
-            found = bpe.encode(text.as_py())
-            arrays.append(found)
-            listed = found.tolist()
-            ids.append(hashlib.sha256(" ".join(map(bpe.decimals.__getitem__, listed)).encode()).hexdigest())
-            decoded.append(hashlib.sha256(bpe.decode(listed).encode()).hexdigest())
-        counts = np.array([len(a) for a in arrays], np.int64)
-        out = {"n_tokens": pa.array(counts[1:]), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
-        return out | ({"ids": pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(np.concatenate(arrays)))} if keep_ids else {})
+        ids, begins = bpe.encode_all(texts)
+        out = {"n_tokens": pa.array(np.diff(begins)), "ids_sha256": _digests(bpe.decimals, ids, begins), "decoded_sha256": _digests(bpe.names, ids, begins)}
+        return out | ({"ids": pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))} if keep_ids else {})
 
     def kernel():
         bpe = kept(name, lambda: pickle.loads(shared.value))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -19,6 +20,8 @@ KERNEL_BYTES = 1 << 20
 #: Rows and bytes of an Arrow batch, whichever it reaches first; a single longer row makes a batch of its own. Spark's own 64 MB of
 #: buffers outside the heap, and as much in the worker, for each running task would be most of what an executor has beside its heap.
 BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
+#: Seconds after which a Python worker hands back memory again while its task goes on.
+TRIM_SECONDS = 0.5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,8 +109,8 @@ def trim_memory() -> None:
 
 
 def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`run`, and then the memory it freed goes back to the system: Python workers outlive their tasks and would hold on to it. What
-    tasks of other kernels than `keep` left in the worker goes first.
+    """`run`; the memory it freed goes back to the system now and then and at its end, as Python workers outlive their tasks and would
+    hold on to it. What tasks of other kernels than `keep` left in the worker goes first.
 
     Arrow batches of this session hold `BATCH_ROWS` rows and about `BATCH_BYTES` bytes at most from now on, unless its settings ask for
     other numbers than Spark's own.
@@ -120,8 +123,13 @@ def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept(keep)
+        latest = time.monotonic()
         try:
-            yield from run(batches)
+            for batch in run(batches):
+                yield batch
+                if time.monotonic() >= latest + TRIM_SECONDS:
+                    trim_memory()
+                    latest = time.monotonic()
         finally:
             trim_memory()
 

@@ -225,3 +225,31 @@ def test_a_task_of_another_kernel_drops_what_was_kept():
     assert "mine" in common._kept
     list(travelled[1](iter([])))
     assert not common._kept
+
+
+def test_encoders_are_small_and_texts_encoded_at_once_are_as_one_by_one():
+    import pickle
+    import tracemalloc
+
+    made = pickle.dumps(bpe_prefix.PrefixBpe(default_spec()))
+    tracemalloc.start()
+    bpe = pickle.loads(made)
+    small = tracemalloc.get_traced_memory()[0] < 50 << 20
+    tracemalloc.stop()
+    assert small
+    texts = ["cut off", "", "a  b\n\tc ", "x<|endoftext|> y <|endoftext|>", "Hello, HELLO hello\x1c\x1f \xa0w\xf6rter 日本 é it's 12", " ", "<|startoftext|>", "\xc3\xa9 \xe9 Ġ", "a b a b"]
+    got, begins = bpe.encode_all(pa.array(texts, pa.large_string())[1:])
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts[1:]]
+    assert [got[a:b].tolist() for a, b in zip(begins, begins[1:], strict=False)] == want == [bpe.encode(t).tolist() for t in texts[1:]]
+    assert bpe.decode(want[2]) == plain.decode(want[2], skip_special_tokens=False)
+    assert [len(x) for x in bpe.encode_all(pa.array([], pa.large_string()))] == [0, 1]
+
+
+def test_workers_hand_memory_back_while_a_task_goes_on(monkeypatch):
+    from morphogrid.llm import common
+
+    times, trimmed = iter(range(100)), []
+    monkeypatch.setattr(common.time, "monotonic", lambda: next(times))
+    monkeypatch.setattr(common, "trim_memory", lambda: trimmed.append(1))
+    assert list(common.releasing(iter)(iter([1, 2, 3]))) == [1, 2, 3] and len(trimmed) == 4
